@@ -63,26 +63,29 @@ def parts(rows: int, each: int) -> int:
     return max(1, -(-rows // each))
 
 
-#: Bits of a bitmap, at most: 4 MB, whatever the input.
-BITMAP_BITS = 1 << 25
+#: Bits of a bitmap. It has BITMAP_BITS / 64 rows of 16 bytes at most, whatever the input, so it may be broadcast.
+BITMAP_BITS = 1 << 24
 
 
-def bitmap(hashes: DataFrame, bits: int = BITMAP_BITS) -> bytes:
+def _bit(hash_col: Column) -> tuple[Column, Column]:
+    place = F.pmod(hash_col, F.lit(BITMAP_BITS))
+    return F.floor(place / 64).cast("long"), (place % 64).cast("int")
+
+
+def bitmap(hashes: DataFrame) -> DataFrame:
     """Mark the 64-bit hashes of a one-column frame in a bitmap of fixed size. It only ever spares work: what it
-    lets through is joined exactly, and a full bitmap lets everything through. Summed up on the executors; the
-    driver gets bits / 64 numbers at most."""
-    (name,) = hashes.columns
-    place = F.pmod(F.col(f"`{name}`"), F.lit(bits))
-    marks = hashes.select(F.floor(place / 64).cast("long").alias("k"), F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int")).alias("b")).groupBy("k").agg(F.bit_or("b").alias("b")).toArrow()
-    import numpy as np
-
-    out = np.zeros(bits // 64, dtype="<i8")
-    out[marks["k"].to_numpy()] = marks["b"].to_numpy()
-    return out.tobytes()
-
-
-def in_bitmap(marks: bytes, hash_col: Column) -> Column:
-    """Whether a 64-bit hash may have been marked; a JVM expression."""
-    place = F.pmod(hash_col, F.lit(len(marks) * 8))
-    byte = F.conv(F.hex(F.substring(F.lit(bytearray(marks)), (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    return F.call_function("shiftright", byte, (place % 8).cast("int")).bitwiseAND(F.lit(1)) == 1
+    lets through is joined exactly afterwards, and a full bitmap lets everything through."""
+    word, bit = _bit(F.col(f"`{hashes.columns[0]}`"))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), bit)
+    return written(hashes.select(word.alias("rowloom_word"), one.alias("one")).groupBy("rowloom_word").agg(F.bit_or("one").alias("rowloom_bits")), "bitmap")
+
+
+def flagged(df: DataFrame, marks: DataFrame, hash_col: Column, name: str) -> DataFrame:
+    """df with a boolean column: whether its hash may have been marked."""
+    word, bit = _bit(hash_col)
+    out = df.withColumn("rowloom_w", word).withColumn("rowloom_b", bit).join(F.broadcast(marks), F.col("rowloom_w") == F.col("rowloom_word"), "left")
+    return out.withColumn(name, F.coalesce(F.getbit("rowloom_bits", F.col("rowloom_b")) == 1, F.lit(False))).drop("rowloom_w", "rowloom_b", "rowloom_word", "rowloom_bits")
+
+
+def let_through(df: DataFrame, marks: DataFrame, hash_col: Column) -> DataFrame:
+    return flagged(df, marks, hash_col, "rowloom_flag").where("rowloom_flag").drop("rowloom_flag")

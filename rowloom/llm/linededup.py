@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowloom.llm.common import bitmap, in_bitmap, table, words, written
+from rowloom.llm.common import bitmap, flagged, let_through, table, words, written
 
 #: Lines of fewer words are never touched: one edit in four words leaves a similarity under 0.8.
 MIN_WORDS = 5
@@ -73,7 +73,7 @@ def dropped_lines(docs: DataFrame, max_edits: int = 1, min_words: int = MIN_WORD
         again = again.groupBy("h", "h2", "first").agg(F.max("near").alias("near"))
     again = written(again, "again")
     mark = bitmap(again.select("h"))
-    there = lines.where(in_bitmap(mark, F.col("h"))).select("id", "th", "line_no", "h", F.xxhash64(F.lit(1), "line").alias("h2"))
+    there = let_through(lines, mark, F.col("h")).select("id", "th", "line_no", "h", F.xxhash64(F.lit(1), "line").alias("h2"))
     hit = there.join(again, ["h", "h2"]).where(F.col("near") | (_place() != F.col("first")))
     return hit.groupBy("id", "th").agg(F.sort_array(F.collect_set("line_no")).alias("drop"))
 
@@ -85,14 +85,14 @@ def _near(lines: DataFrame, classes: DataFrame) -> DataFrame:
     live = written(classes.join(live, ["h", "h2"]).select("h", "h2", "first"), "live")
     where = lambda at: F.xxhash64("h", f"{at}id", f"{at}th", f"{at}line_no")
     mark = bitmap(live.select(where("first.").alias("x")))
-    held = lines.where(in_bitmap(mark, where(""))).select("h", F.xxhash64(F.lit(1), "line").alias("h2"), _place().alias("first"), "line").dropDuplicates(["h", "h2", "first"])
+    held = let_through(lines, mark, where("")).select("h", F.xxhash64(F.lit(1), "line").alias("h2"), _place().alias("first"), "line").dropDuplicates(["h", "h2", "first"])
     held = written(held.join(live, ["h", "h2", "first"]), "held").withColumn("w", words(F.col("line"))).withColumn("n", F.size("w"))
     held = held.withColumn("b", F.expr("transform(sequence(0, n), i -> xxhash64(coalesce(get(w, i - 1), '\n'), coalesce(get(w, i), '\n')))"))
     held = held.withColumn("all", F.expr("aggregate(b, CAST(0 AS BIGINT), (a, x) -> a ^ x)"))
     keys = held.select("h", "h2", "first", F.explode(_variants()).alias("key"))
     groups = written(keys.groupBy("key").agg(F.min("first").alias("hub"), F.count("*").alias("c")).where("c > 1").select("key", "hub"), "groups")
     mark = bitmap(groups.select("key"))
-    pairs = keys.where(in_bitmap(mark, F.col("key"))).join(groups, "key").where(F.col("hub") < F.col("first")).select("h", "h2", "first", "hub").distinct()
+    pairs = let_through(keys, mark, F.col("key")).join(groups, "key").where(F.col("hub") < F.col("first")).select("h", "h2", "first", "hub").distinct()
     text = held.select(F.col("first").alias("hub"), F.col("w").alias("v"))
     pairs = pairs.join(held.select("h", "h2", "first", "w"), ["h", "h2", "first"]).join(text, "hub").where(_one_edit("w", "v"))
     return pairs.select("h", "h2", "first", F.lit(True).alias("near")).distinct()
@@ -107,9 +107,9 @@ def dedup_lines(docs: DataFrame, max_edits: int = 1, min_words: int = MIN_WORDS)
     drops = written(dropped_lines(docs, max_edits, min_words), "drops")
     mark = bitmap(drops.select(F.xxhash64("id", "th")))
     d = docs.withColumn("rowloom_th", F.xxhash64("text"))
-    touched = in_bitmap(mark, F.xxhash64("doc_id", "rowloom_th"))
+    d = flagged(d, mark, F.xxhash64("doc_id", "rowloom_th"), "rowloom_touched")
     x = drops.select(F.col("id").alias("rowloom_id"), F.col("th").alias("rowloom_t"), F.col("drop").alias("rowloom_drop"))
-    cut = d.where(touched).join(x, F.col("doc_id").eqNullSafe(F.col("rowloom_id")) & (F.col("rowloom_th") == F.col("rowloom_t")), "left")
+    cut = d.where("rowloom_touched").join(x, F.col("doc_id").eqNullSafe(F.col("rowloom_id")) & (F.col("rowloom_th") == F.col("rowloom_t")), "left")
     # The numbers to drop are sorted; a map finds each in place of a search along the array.
     rest = F.expr("array_join(filter(zip_with(split(text, '\n'), rowloom_gone, (x, g) -> IF(g, NULL, x)), x -> x IS NOT NULL), '\n')")
     gone = F.expr("transform(array_repeat(0, size(split(text, '\n'))), (x, i) -> array_contains(rowloom_drop, i))")
@@ -119,7 +119,7 @@ def dedup_lines(docs: DataFrame, max_edits: int = 1, min_words: int = MIN_WORDS)
     if "n_chars" in docs.columns:
         cut = cut.withColumn("n_chars", F.when(F.col("rowloom_drop").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     names = [F.col(f"`{c}`") for c in docs.columns]
-    return d.where(~touched).select(*names).unionByName(cut.select(*names))
+    return d.where("NOT rowloom_touched").select(*names).unionByName(cut.select(*names))
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
