@@ -3,11 +3,13 @@
 A document's tokens are hashes of its distinct 5-word shingles. The first order puts tokens of one document first:
 a document whose prefix under it holds nothing else has no candidate, which one counting pass over all tokens
 settles for most. Of the rest, two documents are candidates if their prefixes share a token under every one of
-several hash orders; candidates are verified on the whole sets.
+several orders (frequent tokens last, the others by different hashes); candidates are verified on the whole sets.
 
-Equal sets count once, and a prefix token's documents are not paired with each other: they meet its smallest
-document first, and only those that then still lie in different components meet the next one, or, once they are
-few, each other. So every link between different sets either is verified or joins what other links join already.
+Equal sets count once, and a prefix token's documents are not paired with each other. All of them meet its hub,
+the document with most common tokens. If a hub's documents then still lie in several components, those near the
+hub are compared in tiles of bounded size, which return a spanning forest of the links, not the pairs; those far from
+it stay with the token and meet another hub. (Jaccard distance is a metric: no document far from a hub is similar to
+one close to it.) So every link between different sets is verified, or joins what other links join already.
 """
 
 from __future__ import annotations
@@ -27,6 +29,11 @@ from rowloom.llm.components import components
 
 #: Words of a shingle; least similarity in hundredths; token orders after the first; bytes of text behind a counting bucket.
 WORDS, PERCENT, ORDERS, BUCKET_BYTES = 5, 80, 2, 16 << 20
+#: A set closer to a hub than NEAR may be similar to one closer than FAR; what is further than FAR meets another hub.
+#: Similar sets of distance d(x, y) <= 0.2 keep d(x, hub) <= d(y, hub) + 0.2, so 0.5 and 0.3 leave no gap. Sets of half a tile.
+FAR, NEAR, TILE_SETS = 50, 30, 1024
+#: Tokens that the orders put last, at most.
+FREQUENT = 1 << 18
 _UPPER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -142,19 +149,49 @@ def _token_table(docs: DataFrame, reps: DataFrame, words: int) -> DataFrame:
     return d.mapInArrow(tokens, "sid long, tokens binary").join(reps.select("sid", "n"), "sid").dropDuplicates(["sid"])
 
 
-def _order(tokens: np.ndarray, which: int) -> np.ndarray:
-    """Places of tokens under an order: any fixed mixing of the hashes is one."""
-    return _mixed(tokens ^ np.uint64(int(_ODD) * (2 * which + 1) % (1 << 64)))
+def _frequent(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Frequent tokens of the sets, sorted, and how frequent (quarters of a power of two). They are counted over all
+    sets; as many classes as make up to FREQUENT tokens, from the top, are told apart, which leaves the order one order."""
 
-
-def _prefixes(sets: DataFrame, percent: int, orders: list[int]) -> DataFrame:
+    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x in batch["tokens"]:
+                yield pa.RecordBatch.from_arrays([pa.Array.from_buffers(pa.int64(), len(x.as_buffer()) // 8, [None, x.as_buffer()])], names=["tok"])
+
+    counts = sets.select("tokens").mapInArrow(tokens, "tok long").groupBy("tok").agg(F.count("*").alias("c")).where("c >= 8")
+    counts = written(counts.select("tok", F.floor(4 * F.log2("c")).cast("int").alias("k")), "frequent")
+    total, least = 0, 1 << 30
+    for r in counts.groupBy("k").count().orderBy(F.desc("k")).collect():  # a row per class
+        total += r["count"]
+        if total > FREQUENT:
+            break
+        least = r["k"]
+    got = counts.where(F.col("k") >= least).toArrow()  # FREQUENT rows at most
+    tok, k = got["tok"].to_numpy().astype(np.uint64), got["k"].to_numpy()
+    order = np.argsort(tok)
+    return tok[order], np.minimum(k[order], 255).astype(np.uint64)
+
+
+def _order(tokens: np.ndarray, which: int, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Places of tokens under an order: frequent ones last, the most frequent at the end, else by a hash."""
+    h = _mixed(tokens ^ np.uint64(int(_ODD) * (2 * which + 1) % (1 << 64)))
+    tok, k = frequent
+    out = h >> np.uint64(1)
+    if len(tok):
+        at = np.minimum(np.searchsorted(tok, tokens), len(tok) - 1)
+        hit = tok[at] == tokens
+        out = np.where(hit, np.uint64(1 << 63) | (k[at] << np.uint64(55)) | (h >> np.uint64(9)), out)
+    return out
+
+
+def _prefixes(sets: DataFrame, percent: int, orders: list[int], frequent) -> DataFrame:  # noqa: ANN001
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for sid, n, tokens in zip(batch["sid"].to_pylist(), batch["n"].to_pylist(), batch["tokens"].to_pylist(), strict=True):
                 t = np.frombuffer(tokens, "<u8")
                 p = prefix_length(n, percent)
                 for o in orders:
-                    first = np.sort(_order(t, o))[:p].astype(np.int64)
+                    first = np.sort(_order(t, o, frequent.value))[:p].astype(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), o, np.int32)), pa.array(first), pa.array(np.full(len(first), sid)), pa.array(np.full(len(first), n))], names=["o", "tok", "sid", "n"])
 
     def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,27 +207,87 @@ def _prefixes(sets: DataFrame, percent: int, orders: list[int]) -> DataFrame:
     return sets.mapInArrow(gathered, "o int, tok long, sid long, n long")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of pairs (a, b) that are similar; first their prefixes must meet under every order."""
+def _compared(pairs: DataFrame, sets: DataFrame, percent: int, frequent) -> DataFrame:
+    """a, b, their sizes and the number of tokens they share. Of a pair with quick set, that is 0 if the prefixes do not
+    meet under every order: then only whether the two are similar is asked."""
     a = sets.select(F.col("sid").alias("a"), F.col("tokens").alias("x"))
     b = sets.select(F.col("sid").alias("b"), F.col("tokens").alias("y"))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = []
-            for x, y in zip(batch["x"], batch["y"], strict=True):
+            out = []
+            for x, y, quick in zip(batch["x"], batch["y"], batch["quick"].to_pylist(), strict=True):
                 s, t = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
                 p, q = prefix_length(len(s), percent), prefix_length(len(t), percent)
-                meet = all(len(np.intersect1d(np.sort(_order(s, o))[:p], np.sort(_order(t, o))[:q], assume_unique=True)) for o in range(1, ORDERS))
-                both = len(np.intersect1d(s, t, assume_unique=True)) if meet else 0
-                good.append(100 * both >= percent * (len(s) + len(t) - both))
-            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+                meet = not quick or all(len(np.intersect1d(np.sort(_order(s, o, frequent.value))[:p], np.sort(_order(t, o, frequent.value))[:q], assume_unique=True)) for o in range(1, ORDERS))
+                out.append((len(s), len(t), len(np.intersect1d(s, t, assume_unique=True)) if meet else 0))
+            na, nb, both = (pa.array([o[k] for o in out], pa.int64()) for k in range(3))
+            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], na, nb, both], names=["a", "b", "na", "nb", "shared"])
+
+    found = pairs.select("a", "b", "quick").join(a, "a").join(b, "b").select("a", "b", "quick", "x", "y")
+    return found.mapInArrow(check, "a long, b long, na long, nb long, shared long")
+
+
+def _reach(hundredths: int) -> str:
+    return f"100 * shared >= {hundredths} * (na + nb - shared)"
+
+
+def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """Number of tokens that each two of the sets share."""
+    m = len(sets)
+    token, doc = np.concatenate(sets), np.repeat(np.arange(m), [len(s) for s in sets])
+    order = np.argsort(token, kind="stable")
+    token, doc = token[order], doc[order]
+    starts = np.nonzero(np.concatenate([[True], token[1:] != token[:-1]]))[0]
+    sizes = np.diff(np.append(starts, len(token)))
+    out = np.zeros((m, m), dtype=np.float32)
+    often = starts[sizes >= 32], sizes[sizes >= 32]
+    for k in range(0, len(often[0]), 2048):  # tokens of many sets: a matrix product
+        some = np.zeros((m, len(often[0][k : k + 2048])), dtype=np.float32)
+        for j, (at, n) in enumerate(zip(often[0][k : k + 2048], often[1][k : k + 2048], strict=True)):
+            some[doc[at : at + n], j] = 1
+        out += some @ some.T
+    for n in range(2, 32):  # tokens of few sets: their pairs
+        at = starts[sizes == n]
+        if len(at):
+            members = doc[at[:, None] + np.arange(n)]
+            pairs = (members[:, :, None] * m + members[:, None, :]).ravel()
+            out += np.bincount(pairs, minlength=m * m).reshape(m, m)
+    return out
+
+
+def _forest(sids: np.ndarray, roots: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links that join sets of different roots, one for each set and turn of joining, out of all links of a tile."""
+    n = np.array([len(s) for s in sets], dtype=np.float64)
+    both = _overlaps(sets)
+    linked = 100 * both >= percent * (n[:, None] + n[None, :] - both)
+    label, out = np.unique(roots, return_inverse=True)[1], []
+    while True:
+        apart = linked & (label[:, None] > label[None, :])
+        rows = np.nonzero(apart.any(axis=1))[0]
+        if not len(rows):
+            return out
+        to = apart[rows].argmax(axis=1)
+        out += list(zip(sids[rows].tolist(), sids[to].tolist(), strict=True))
+        up = np.arange(label.max() + 1)
+        np.minimum.at(up, label[rows], label[to])
+        while (up[up] != up).any():
+            up = up[up]
+        label = up[label]
 
-    return pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
+def _tiles(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """near: hub, sid, root. Links between sets of one hub in different components, hub by hub and tile by tile."""
+    sizes = near.groupBy("hub").agg(F.count("*").alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
+    d = near.join(sizes.select("hub", F.ceil(F.col("size") / TILE_SETS).cast("int").alias("chunks")), "hub")
+    d = d.withColumn("c", F.pmod(F.xxhash64("sid"), F.col("chunks")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    d = d.select("hub", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "sid", "root").join(sets.select("sid", "tokens"), "sid")
 
-def _fits(a: str, b: str, percent: int) -> str:
-    return f"100 * least({a}, {b}) >= {percent} * greatest({a}, {b})"
+    def tile(t: pa.Table) -> pa.Table:
+        pairs = _forest(t["sid"].to_numpy(), t["root"].to_numpy(), [np.frombuffer(x, "<u8") for x in t["tokens"].to_pylist()], percent)
+        return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
+
+    return d.select("hub", "i", "j", "sid", "root", "tokens").groupBy("hub", "i", "j").applyInArrow(tile, "a long, b long")
 
 
 def _apart(df: DataFrame, roots: DataFrame, *cols: str) -> DataFrame:
@@ -200,42 +297,48 @@ def _apart(df: DataFrame, roots: DataFrame, *cols: str) -> DataFrame:
     return df
 
 
-def _linked(sets: DataFrame, percent: int) -> DataFrame | None:
+def _linked(sets: DataFrame, reps: DataFrame, percent: int) -> DataFrame | None:
     """Roots of the sets that links join; None if there are no links."""
-    rows = _prefixes(sets, percent, [0])
-    many = written(rows.select("tok", "sid", "n"), "prefixes")
-    common = many.groupBy("tok").agg(F.min("sid").alias("hub"), F.max("sid").alias("other")).where("hub < other")
-    links, roots, active = None, None, many.join(common.select("tok"), "tok")
-    size = many.count()
-    while True:
-        active = written(active.select("tok", "sid", "n"), "active")
-        hubs = active.groupBy("tok").agg(F.min(F.struct("sid", "n")).alias("h")).select("tok", F.col("h.sid").alias("hub"), F.col("h.n").alias("m"))
-        met = active.join(hubs, "tok").where("sid <> hub").where(_fits("n", "m", percent))
-        met = written(met.groupBy(F.col("sid").alias("a"), F.col("hub").alias("b")).agg(F.count("*").alias("c")), "met")
-        # The hub that shares most with a set comes first; others only where that has not joined the two.
-        best = met.groupBy("a").agg(F.max_by("b", F.struct("c", "b")).alias("b"))
-        for some in (best, None):
-            if some is None:
-                some = met if roots is None else _apart(met, roots, "a", "b").where("ra <> rb")
-            new = written(_verified(some, sets, percent), "verified")
+    frequent = sets.sparkSession.sparkContext.broadcast(_frequent(sets))
+    rows = written(_prefixes(sets, percent, [0], frequent).select("tok", "sid"), "prefixes")
+    common = rows.groupBy("tok").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo < hi")
+    active = rows.join(common.select("tok"), "tok").join(reps.select("sid", "lone"), "sid").select("tok", "sid", "lone")
+    links, roots, size = None, None, rows.count()
+
+    def add(new: DataFrame) -> None:
+        nonlocal links, roots
+        new = written(rooted(new.select("a", "b"), "a", "b").where("ra <> rb").select("a", "b"), "linked")
+        if not new.isEmpty():
             links = new if links is None else links.unionByName(new)
-            roots = written(components(links), "roots") if not links.isEmpty() else None
-        rest = active.join(hubs, "tok").where("sid <> hub").select("tok", "sid", "n")
-        rest = _apart(rest, roots, "sid") if roots is not None else rest.withColumn("rsid", F.col("sid"))
+            roots = written(components(links), "roots")
+
+    def rooted(df: DataFrame, *cols: str) -> DataFrame:
+        return _apart(df, roots, *cols) if roots is not None else df.withColumns({f"r{c}": F.col(c) for c in cols})
+
+    while True:
+        active = written(active, "active")
+        hubs = active.groupBy("tok").agg(F.min(F.struct("lone", "sid")).alias("h")).select("tok", F.col("h.sid").alias("hub"))
+        met = active.join(hubs, "tok").where("sid <> hub")
+        met = met.select(F.col("sid").alias("a"), F.col("hub").alias("b"), F.lit(False).alias("quick")).distinct()
+        met = written(_compared(met, sets, percent, frequent), "met")
+        add(met.where(_reach(percent)))
+        near = met.where(_reach(NEAR)).select(F.col("b").alias("hub"), F.col("a").alias("sid"))
+        near = near.unionByName(near.select("hub", F.col("hub").alias("sid")).distinct())
+        add(_tiles(rooted(near, "sid").withColumnRenamed("rsid", "root"), sets, percent))
+        far = met.where(f"NOT ({_reach(FAR)})").select(F.col("a").alias("sid"), F.col("b").alias("hub"))
+        rest = rooted(active.join(hubs, "tok").join(far, ["sid", "hub"]).select("tok", "sid", "lone"), "sid")
         still = rest.groupBy("tok").agg(F.min("rsid").alias("lo"), F.max("rsid").alias("hi")).where("lo < hi").select("tok")
-        active = written(rest.join(still, "tok"), "rest")
-        by_root = active.groupBy("tok", "rsid").agg(F.count("*").alias("c"))
+        rest = written(rest.join(still, "tok").select("tok", "sid", "lone", "rsid"), "rest")
+        by_root = rest.groupBy("tok", "rsid").agg(F.count("*").alias("c"))
         left = by_root.groupBy("tok").agg(((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("p")).agg(F.sum("p")).first()[0] or 0
-        if left == 0:
-            return roots
         if left <= size:
             break
-    # What is left is few: sets of one token in different components. The other orders are held against each pair
-    # in _verified.
-    x, y = (active.select("tok", F.col("sid").alias(c), F.col("n").alias(f"n{c}"), F.col("rsid").alias(f"r{c}")) for c in "ab")
-    pairs = x.join(y, "tok").where("a < b AND ra <> rb").where(_fits("na", "nb", percent)).select("a", "b").distinct()
-    links = links.unionByName(written(_verified(pairs, sets, percent), "verified"))
-    return None if links.isEmpty() else written(components(links), "roots")
+        active = rest.drop("rsid")
+    if left:  # fewer pairs than prefix tokens: sets of one token, far from its hubs, in different components
+        x, y = (rest.select("tok", F.col("sid").alias(c), F.col("rsid").alias(f"r{c}")) for c in "ab")
+        pairs = x.join(y, "tok").where("a < b AND ra <> rb").select("a", "b", F.lit(True).alias("quick")).distinct()
+        add(_compared(pairs, sets, percent, frequent).where(_reach(percent)))
+    return roots
 
 
 def near_groups(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
@@ -248,10 +351,10 @@ def near_groups(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) ->
     light = both.where("kind = 1")
     of_set = light.where("n > 0").groupBy("sid").agg(F.first("n").alias("n"), F.min("id").alias("least"), F.min(F.struct("id", "th")).alias("rep"))
     common = both.where("kind = 0").groupBy("sid").agg(F.sum("n").alias("common"))
-    reps = of_set.join(common, "sid").where(100 * F.col("common") >= percent * F.col("n")).select("sid", "n", "rep.id", "rep.th")
+    reps = of_set.join(common, "sid").where(100 * F.col("common") >= percent * F.col("n")).select("sid", "n", "rep.id", "rep.th", (1 - F.col("common") / F.col("n")).alias("lone"))
     reps = written(reps, "reps")
     sets = written(_token_table(docs, reps, words), "tokens")
-    roots = _linked(sets, percent)
+    roots = _linked(sets, reps, percent)
     named = of_set.select("sid", "least")
     if roots is not None:
         named = named.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
