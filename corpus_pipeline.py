@@ -1,2 +1,44 @@
-STAGES = []
-def run(spark, sf_dir): ...
+"""From raw documents to packed training windows: toxic documents go, repeated lines go, one document of each
+group of near copies stays, sources are mixed to their weights, and what is left is packed."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from rowloom.llm import jaccard, linededup, mixing, packing, toxicity
+from rowloom.llm.common import table, written
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = toxicity.fit(docs, toxicity.training(table(spark, sf_dir, "labels")))
+    return toxicity.without_toxic(docs, model)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return linededup.dedup_lines(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return jaccard.one_of_each(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mixed_documents(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs)
+
+
+STAGES = [("toxicity", drop_toxic), ("line dedup", drop_repeated_lines), ("n-gram Jaccard join", drop_near_copies), ("mixing", mix), ("packing", pack)]
+#: A trained classifier and a tokenizer are beyond SQL; tests hold the stages against brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = written(docs, "stage")
+    return docs

@@ -85,7 +85,7 @@ def _sets_and_counts(docs: DataFrame, words: int) -> DataFrame:
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Hashes()
-        for batch in batches:
+        for batch in (b.slice(k, 1000) for b in batches for k in range(0, len(b), 1000)):
             sets = [shingle_hashes(t, known, words) for t in batch["text"].to_pylist()]
             n = np.array([len(s) for s in sets], dtype=np.int64)
             sids = np.array([_set_id(s) if len(s) else 0 for s in sets], dtype=np.int64)

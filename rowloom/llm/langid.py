@@ -12,7 +12,7 @@ import functools
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,18 +78,19 @@ def train(labelled: DataFrame, dimensions: int = DIMENSIONS, texts: int = TRAIN_
     share = F.create_map(*(F.lit(x) for kv in shares.items() for x in kv))[F.col("lang")]
     sample = labelled.where(F.pmod(F.xxhash64(F.lit(seed), "text"), F.lit(1 << 20)) < share * (1 << 20))
 
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
-        for pdf in batches:
-            for lang, text in zip(pdf["lang"], pdf["text"], strict=True):
+        for batch in batches:
+            for lang, text in zip(batch["lang"].to_pylist(), batch["text"].to_pylist(), strict=True):
                 if (v := vector(text, dimensions, seed)) is not None:
                     sums[lang] = sums.get(lang, 0) + v.astype(np.float64)
-        yield pd.DataFrame({"lang": list(sums), "v": [v.tobytes() for v in sums.values()]})
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], names=["lang", "v"])
 
-    def total(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"lang": pdf["lang"][:1], "v": [np.sum([np.frombuffer(b) for b in sorted(pdf["v"])], axis=0).tobytes()]})
+    def total(t: pa.Table) -> pa.Table:
+        v = np.sum([np.frombuffer(b) for b in sorted(t["v"].to_pylist())], axis=0)
+        return pa.table({"lang": pa.array([t["lang"][0].as_py()], pa.string()), "v": pa.array([v.tobytes()], pa.binary())})
 
-    got = sample.select("lang", "text").mapInPandas(partial, "lang string, v binary").groupBy("lang").applyInPandas(total, "lang string, v binary").collect()
+    got = sample.select("lang", "text").mapInArrow(partial, "lang string, v binary").groupBy("lang").applyInArrow(total, "lang string, v binary").collect()
     got = sorted((r["lang"], np.frombuffer(bytes(r["v"]))) for r in got)  # at most MAX_LANGUAGES rows
     if not got:
         return [], np.zeros((0, dimensions), dtype=np.float32)
@@ -107,11 +108,11 @@ def predict(docs: DataFrame, langs: list[str], profiles: np.ndarray, seed: int =
     model = spark.sparkContext.broadcast((langs, profiles))  # at most MAX_LANGUAGES x DIMENSIONS numbers
     kept = docs.select(*keep, "text")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, table_ = model.value
-        for pdf in batches:
+        for batch in batches:
             preds, scores = [], []
-            for text in pdf["text"]:
+            for text in batch["text"].to_pylist():
                 v = vector(text, table_.shape[1], seed) if names else None
                 if v is None:
                     preds.append("und")
@@ -121,10 +122,10 @@ def predict(docs: DataFrame, langs: list[str], profiles: np.ndarray, seed: int =
                 best = int(np.argmax(cosines))
                 preds.append(names[best])
                 scores.append(float(min(max(cosines[best], 0.0), 1.0)))
-            yield pdf.drop(columns="text").assign(lang_pred=preds, score=scores)
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in keep), pa.array(preds, pa.string()), pa.array(scores, pa.float64())], names=[*keep, "lang_pred", "score"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != "text")
-    return kept.mapInPandas(run, f"{fields}, lang_pred string, score double")
+    return kept.mapInArrow(run, f"{fields}, lang_pred string, score double")
 
 
 def held_out() -> Column:

@@ -142,6 +142,8 @@ def pack(docs: DataFrame, window: int = WINDOW, end_id: int = END_ID, path: str
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["length", "ids_crc32", "doc_tokens", "start", "doc_id"], ascending=False, kind="stable")
         which, offset = best_fit_decreasing(pdf["length"].to_numpy(), window)
+        if not pd.api.types.is_numeric_dtype(pdf["doc_id"]):
+            pdf["doc_id"] = pdf["doc_id"].astype(object)  # strings in several chunks do not convert back
         return pdf.assign(sequence_id=(pdf["part"].to_numpy() << 32) + which, offset=offset).drop(columns="part")
 
     kinds = f"doc_id {doc_type}, start long, length long, ids_crc32 long, doc_tokens long"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rowloom.llm import chat, jaccard, langid, linededup, mixing, packing, quality, sharding, topk
+from rowloom.llm import chat, jaccard, langid, linededup, mixing, packing, quality, sharding, topk, toxicity
 
 QUERIES = {
     "op1_chat_format": chat.op1_chat_format,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_kd_shards": sharding.op7_kd_shards,
     "op8_jaccard_join": jaccard.op8_jaccard_join,
     "op9_mix_sources": mixing.op9_mix_sources,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 SQL = {
     "op1_chat_format": chat.OP1_SQL,
