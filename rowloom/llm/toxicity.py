@@ -26,6 +26,8 @@ from rowloom.llm.langid import held_out
 
 #: Labelled rows that a fit takes, about; lexicon words learned, at most; parts that lexicon words are dealt to.
 SAMPLE_ROWS, LEARNED_WORDS, LEXICON_PARTS = 20_000, 500, 6
+#: Lengths of stems.
+STEMS = range(4, 9)
 #: A general lexicon of insults.
 GENERAL = (
     "idiot idiots moron morons stupid dumb loser losers trash scum pathetic worthless disgusting clown clowns garbage filth vermin "
@@ -41,28 +43,42 @@ PATTERNS = (
 
 @dataclass
 class Model:
-    """Lexicon words with their part, voters' weights of the label model, weights of the linear classifier."""
+    """Lexicon (words, and stems that end in *), what the label model has estimated, weights of the linear classifier."""
 
-    lexicon: dict[str, int]
+    lexicon: frozenset[str]
     fires: np.ndarray = field(default_factory=lambda: np.zeros((2, 0)))
     share: np.ndarray = field(default_factory=lambda: np.zeros(0))
     prior: float = 0.1
     weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
 
 
-def part_of(word: str) -> int:
-    return zlib.crc32(word.encode()) % LEXICON_PARTS
+class Parts(dict):
+    """The lexicon part of every word met so far, -1 for words that are not in it; emptied when it has grown large."""
 
+    def __init__(self, lexicon: frozenset[str]):
+        super().__init__()
+        self.lexicon = lexicon
 
-def signals(text: str | None, lexicon: dict[str, int]) -> list[float]:
+    def __missing__(self, word: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        hit = next((x for x in (word, *(f"{word[:k]}*" for k in STEMS)) if x in self.lexicon), None)
+        self[word] = out = -1 if hit is None else zlib.crc32(hit.encode()) % LEXICON_PARTS
+        return out
+
+
+def signals(text: str | None, known: Parts) -> list[float]:
     """Numbers that voters and classifier read: words, hits, different hits, hits by part, pattern hits."""
     low = text.lower() if text else ""
     found = WORD.findall(low)
-    hits = [w for w in found if w in lexicon]
+    of = list(map(known.__getitem__, found))
     by_part = [0.0] * LEXICON_PARTS
-    for w in hits:
-        by_part[lexicon[w]] += 1
-    return [float(len(found)), float(len(hits)), float(len(set(hits))), *by_part, *(float(len(p.findall(low))) if hits or k != 1 else 0.0 for k, p in enumerate(PATTERNS))]
+    kinds = set()
+    for w, k in zip(found, of, strict=True) if max(of, default=-1) >= 0 else ():
+        if k >= 0:
+            by_part[k] += 1
+            kinds.add(w)
+    return [float(len(found)), sum(by_part), float(len(kinds)), *by_part, *(float(len(p.findall(low))) if kinds or k != 1 else 0.0 for k, p in enumerate(PATTERNS))]
 
 
 def votes(s: np.ndarray) -> np.ndarray:
@@ -123,17 +139,21 @@ def linear(x: np.ndarray, q: np.ndarray, ridge: float = 1e-2, rounds: int = 30)
 
 
 def _words(sample: DataFrame) -> list[str]:
-    """Words that tell toxic texts: the lower bound (Wilson) of their share of toxic contexts is over a half. A context
+    """Words and stems (of three words or more) that tell toxic texts: the lower bound (Wilson) of their share of toxic contexts is over a half, for stems over 0.8. A context
     is the words on both sides, and counts once: near copies of one text do not make its words telling."""
     tokens = F.expr(r"regexp_extract_all(lower(text), '(?U)[^\\W\\d_]+', 0)")
     t = sample.select("toxic", tokens.alias("w")).where(F.size("w") > 0)
     near = F.expr("transform(w, (x, i) -> struct(x AS word, xxhash64(get(w, i - 1), get(w, i + 1)) AS at))")
     t = t.select("toxic", F.explode(near).alias("x")).select("x.word", "x.at", "toxic")
     seen = t.groupBy("word", "at").agg(F.max("toxic").alias("toxic"))
-    sums = seen.groupBy("word").agg(F.count("*").alias("n"), F.sum("toxic").alias("k")).where("k >= 5 AND length(word) >= 3")
+    sums = written(seen.groupBy("word").agg(F.count("*").alias("n"), F.sum("toxic").alias("k")), "words")
     z, share = 3.0, F.col("k") / F.col("n")
     lower = (share + z * z / (2 * F.col("n")) - z * F.sqrt(share * (1 - share) / F.col("n") + z * z / (4 * F.col("n") * F.col("n")))) / (1 + z * z / F.col("n"))
-    return [r["word"] for r in sums.where(lower > 0.5).orderBy(F.desc("k"), "word").limit(LEARNED_WORDS).collect()]
+    told = lambda d, name, least: [r[name] for r in d.where("k >= 5").where(lower > least).orderBy(F.desc("k"), name).limit(LEARNED_WORDS).collect()]
+    words = told(sums.where("length(word) >= 3"), "word", 0.5)
+    stems = F.explode(F.transform(F.array(*map(F.lit, STEMS)), lambda k: F.when(F.length("word") >= k, F.col("word").substr(F.lit(1), k))))
+    by_stem = sums.select(stems.alias("stem"), "n", "k").where("stem IS NOT NULL").groupBy("stem").agg(F.count("*").alias("c"), F.sum("n").alias("n"), F.sum("k").alias("k"))
+    return words + [f"{x}*" for x in told(by_stem.where("c >= 3"), "stem", 0.8)]
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
@@ -146,17 +166,18 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     # The sample's ids: about `rows` of them, whatever the input.
     sample = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").where("text IS NOT NULL").dropDuplicates(["text"])
     sample = written(sample.select("doc_id", "text", F.col("toxic").cast("int").alias("toxic")).repartition(parts(rows, 500)), "sample")
-    lexicon = {w: part_of(w) for w in [*GENERAL, *_words(sample)]}
+    lexicon = frozenset([*GENERAL, *_words(sample)])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Parts(lexicon)
         for batch in batches:
-            numbers = [signals(t, lexicon) for t in batch["text"].to_pylist()]
+            numbers = [signals(t, known) for t in batch["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([batch["doc_id"].cast(pa.string()), batch["toxic"], pa.array(numbers, pa.list_(pa.float64()))], names=["doc_id", "toxic", "s"])
 
     got = sample.mapInArrow(read, "doc_id string, toxic int, s array<double>").toPandas()  # about `rows` rows of a few numbers
     model = Model(lexicon)
     if got.empty:
-        got = pd.DataFrame({"doc_id": ["a", "b"], "toxic": [1, 0], "s": [signals(" ".join(GENERAL[:3]), lexicon), signals("", lexicon)]})
+        got = pd.DataFrame({"doc_id": ["a", "b"], "toxic": [1, 0], "s": [signals(" ".join(GENERAL[:3]), Parts(lexicon)), signals("", Parts(lexicon))]})
     got = got.sort_values("doc_id", kind="stable")
     s = np.array(got["s"].tolist())
     v = votes(s)
@@ -173,9 +194,10 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
+        known = Parts(m.lexicon)
         for batch in batches:
             if len(batch):
-                x = features(np.array([signals(t, m.lexicon) for t in batch["rowloom_text"].to_pylist()]))
+                x = features(np.array([signals(t, known) for t in batch["rowloom_text"].to_pylist()]))
                 p = 1 / (1 + np.exp(-np.clip(x @ m.weights, -30, 30)))
                 yield pa.RecordBatch.from_arrays([*(batch[c] for c in keep), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=[*keep, "score", "predicted"])
 
@@ -188,10 +210,12 @@ def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("boolean")
-    def clean(text: pd.Series) -> pd.Series:
+    def clean(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         m = held.value
-        x = features(np.array([signals(t, m.lexicon) for t in text]).reshape(len(text), -1)) if len(text) else np.zeros((0, len(m.weights)))
-        return pd.Series(x @ m.weights < 0)
+        known = Parts(m.lexicon)
+        for text in texts:
+            s = np.array([signals(t, known) for t in text]).reshape(len(text), LEXICON_PARTS + len(PATTERNS) + 3)
+            yield pd.Series(features(s) @ m.weights < 0)
 
     return docs.where(clean(F.col("text")))
 
