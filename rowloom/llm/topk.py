@@ -68,7 +68,8 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     return np.take_along_axis(scores, order, axis=1), np.take_along_axis(ids, order, axis=1)
 
 
-NONE = np.iinfo(np.int64).min
+#: No score; its negative is a number too.
+NONE = -np.iinfo(np.int64).max
 
 
 def search_block(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, rotation: np.ndarray, k: int, lead: int) -> tuple[np.ndarray, np.ndarray]:
