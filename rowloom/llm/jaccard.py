@@ -369,11 +369,11 @@ def near_groups(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) ->
 
 def one_of_each(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
     """docs, all columns: of each group the row with the smallest doc_id stays, one only if rows repeat; rows
-    linked with nothing stay. Of a group without any doc_id all rows stay."""
+    linked with nothing stay. Of a group without any doc_id all rows stay, and so do different texts of a group that
+    share its smallest doc_id."""
     g = near_groups(docs, percent, words)
     stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
     g = g.where(stays).groupBy(F.col("doc_id").alias("rowloom_id"), F.col("text_hash").alias("rowloom_th")).agg(F.max("n_shingles").alias("rowloom_n"))
-    # Equal doc_ids with different texts of one group: the text with the smallest hash stays.
     d = docs.withColumn("rowloom_t", F.xxhash64("text"))
     d = d.join(g, F.col("doc_id").eqNullSafe(F.col("rowloom_id")) & (F.col("rowloom_t") == F.col("rowloom_th")))
     place = F.row_number().over(Window.partitionBy("rowloom_id", "rowloom_th").orderBy(F.lit(1)))
