@@ -29,7 +29,7 @@ SHAPES = 32
 Row = list[tuple[str, str]]
 
 
-def _decoded(raw: bytes) -> str:
+def decoded(raw: bytes) -> str:
     try:
         text = raw.decode("utf-8")
     except UnicodeDecodeError as e:
@@ -42,62 +42,107 @@ def _attrs(raw: bytes) -> list[tuple[bytes, bytes]]:
 
 
 def _key(tag: bytes, attrs: bytes) -> str:
-    return next((_decoded(v) for k, v in _attrs(attrs) if k in KEYS[tag]), tag.decode())
+    return next((decoded(v) for k, v in _attrs(attrs) if k in KEYS[tag]), tag.decode())
+
+
+class Shape:
+    """A row shape met before: the markup around its values, the names in order, and for each name the numbers of
+    the values that may hold it (the last one with text does), or a fixed value."""
+
+    __slots__ = ("marks", "plan")
+
+    def __init__(self, marks: list[bytes], plan: list[tuple[str, list[int] | bytes]]):
+        self.marks = [(m[:1], m, len(m)) for m in marks]
+        self.plan = dict(plan)  # of a name met twice the first place and the last value
+
+    def match(self, buf: bytes, at: int) -> list[int] | None:
+        """Where the values of a row of this shape start and end, by turns, after the row's own end; None if the row
+        has another shape. A value ends at the first byte of the mark behind it: a `<`, or its closing quote."""
+        find, starts = buf.find, buf.startswith
+        _, mark, n = self.marks[0]
+        if not starts(mark, at):
+            return None
+        pos, cuts = at + n, [0]
+        for first, mark, n in self.marks[1:]:
+            i = find(first, pos)
+            if i < 0 or not starts(mark, i):
+                return None
+            cuts += (pos, i)
+            pos = i + n
+        cuts[0] = pos
+        return cuts
+
+    def row(self, buf: bytes, cuts: list[int]) -> Row:
+        return [(k, decoded(cut_out(buf, cuts, p))) for k, p in self.plan.items()]
+
+
+def cut_out(buf: bytes, cuts: list[int], places: list[int] | bytes) -> bytes:
+    """A value of a row that a shape has matched."""
+    if isinstance(places, bytes):
+        return places
+    for p in reversed(places):
+        a, z = cuts[2 * p + 1], cuts[2 * p + 2]
+        if z > a:
+            return buf[a:z]
+    return b""
 
 
 class RowReader:
-    """Reads rows out of a buffer. Shapes of rows met before are matched whole by one pattern each; a row of a new
-    shape, or with comments or CDATA, is read token by token. Both give the same rows."""
+    """Reads rows out of a buffer. Rows of a shape met before are matched mark by mark; a row of a new shape, or with
+    comments or CDATA, is read token by token. Both give the same rows."""
 
     def __init__(self, row_tag: str, shapes: bool = True):
         self.tag = row_tag.encode()
-        self.opens = re.compile(b"<" + re.escape(self.tag) + rb"(?=[\s>/])")
         self.skips = re.compile(b"<!--|<!\\[CDATA\\[|<\\?|<" + re.escape(self.tag) + rb"(?=[\s>/])")
-        self.shapes: list[tuple[re.Pattern, list]] | None = [] if shapes else None
+        self.shapes: list[Shape] | None = [] if shapes else None
+        self.reached = 0  # the end of the last row, comment, CDATA or instruction
 
-    def rows(self, buf: bytes, start: int, end: int, state: int = 0) -> Iterator[tuple[int, Row | None]]:
-        """Rows that open in buf[start:end], with their places; state: the one of CLOSES that start lies in. The last
-        row may reach beyond end; if the buffer ends before it does, it comes as None."""
+    def records(self, buf: bytes, start: int, end: int, state: int = 0) -> Iterator[tuple[int, Shape | None, list[int] | Row | None]]:
+        """What opens in buf[start:end], with its place: a known shape and its cuts, or no shape and the row. state:
+        the one of CLOSES that start lies in. The last row may reach beyond end; if the buffer ends before it does, it
+        comes as None."""
         pos = start
         if state:
-            pos = _after(buf, CLOSES[state], start)
+            pos = after(buf, CLOSES[state], start)
         while pos < end:
+            self.reached = pos
             m = self.skips.search(buf, pos)
             if not m or m.start() >= end:
                 return
             at, what = m.start(), m[0]
             if what == b"<!--":
-                pos = _after(buf, b"-->", m.end())
+                pos = after(buf, b"-->", m.end())
             elif what == b"<![CDATA[":
-                pos = _after(buf, b"]]>", m.end())
+                pos = after(buf, b"]]>", m.end())
             elif what == b"<?":
-                pos = _after(buf, b"?>", m.end())
+                pos = after(buf, b"?>", m.end())
             else:
-                got = self._known(buf, at) or self._read(buf, at)
-                if got is None:
-                    yield at, None
-                    return
-                pos, row = got
-                yield at, row
-
-    def _known(self, buf: bytes, at: int) -> tuple[int, Row] | None:
-        for k, (pattern, plan) in enumerate(self.shapes or ()):
-            m = pattern.match(buf, at)
-            if m:
-                if k:
-                    self.shapes.insert(0, self.shapes.pop(k))
-                groups, row = m.groups(), {}
-                for key, places in plan:
-                    raw = places if isinstance(places, bytes) else b""
-                    for p in places if isinstance(places, list) else ():
-                        raw = groups[p] or raw
-                    row[key] = _decoded(raw)
-                return m.end(), list(row.items())
-        return None
+                for k, shape in enumerate(self.shapes or ()):
+                    cuts = shape.match(buf, at)
+                    if cuts:
+                        if k:
+                            self.shapes.insert(0, self.shapes.pop(k))
+                        self.reached = pos = cuts[0]
+                        yield at, shape, cuts
+                        break
+                else:
+                    got = self._read(buf, at)
+                    if got is None:
+                        yield at, None, None
+                        return
+                    pos, row = got
+                    self.reached = pos
+                    yield at, None, row
+        self.reached = pos
+
+    def rows(self, buf: bytes, start: int, end: int, state: int = 0) -> Iterator[tuple[int, Row | None]]:
+        """records(), all of them as rows."""
+        for at, shape, got in self.records(buf, start, end, state):
+            yield at, shape.row(buf, got) if shape else got
 
     def _read(self, buf: bytes, at: int) -> tuple[int, Row] | None:
         row: dict[str, str] = {}
-        shape: list[bytes] | None = []  # a pattern of the row, None if it must not be remembered
+        shape: list[bytes] | None = [b""]  # marks around values, None if the row must not be remembered
         plan: list[tuple[str, list[int] | bytes]] = []  # names, and the groups with their values or a fixed one
         groups = 0
         pos, first, inside, key, value, places = at, True, b"", "", "", []
@@ -113,17 +158,17 @@ class RowReader:
             raw = m[0]
             if kind == "text":
                 if fresh:
-                    value = _decoded(raw)
-                    if shape is not None:
-                        shape.append(b"([^<]*)")
-                        places.append(groups)
-                        groups += 1
+                    value = decoded(raw)
+                    places.append(groups)
+                if shape is not None and (fresh or raw.strip()):  # a value, or text that no value takes
+                    shape.append(b"")
+                    groups += 1
                 elif shape is not None:
-                    shape.append(re.escape(raw))
+                    shape[-1] += raw
                 fresh = False
                 continue
             if fresh and shape is not None:  # an empty value
-                shape.append(b"([^<]*)")
+                shape.append(b"")
                 places.append(groups)
                 groups += 1
             fresh = False
@@ -132,7 +177,7 @@ class RowReader:
                 continue
             if kind == "end":
                 if shape is not None:
-                    shape.append(re.escape(raw))
+                    shape[-1] += raw
                 if inside and m["end"] == inside:
                     row[key] = value
                     plan.append((key, places))
@@ -144,22 +189,26 @@ class RowReader:
             if first:
                 first = False
                 rest = raw[1 + len(tag) :]
-                pattern, last = [re.escape(b"<" + tag)], 0
+                last = 0
+                if shape is not None:
+                    shape[-1] += b"<" + tag
                 for a in ATTR.finditer(rest):
-                    name = _decoded(a[1])
-                    row[name] = _decoded(a[2] if a[2] is not None else a[3])
+                    name = decoded(a[1])
+                    row[name] = decoded(a[2] if a[2] is not None else a[3])
                     g = 2 if a[2] is not None else 3
-                    pattern += [re.escape(rest[last : a.start(g)]), b"([^\"'<]*)"]
+                    if shape is not None:
+                        shape[-1] += rest[last : a.start(g)]
+                        shape.append(b"")
                     last = a.end(g)
                     plan.append((name, [groups]))
                     groups += 1
                 if shape is not None:
-                    shape += [*pattern, re.escape(rest[last:])]
+                    shape[-1] += rest[last:]
                 if empty:
                     return self._done(pos, row, shape, plan)
                 continue
             if shape is not None:
-                shape.append(re.escape(raw))
+                shape[-1] += raw
             if inside:
                 fresh = tag in wanted and not empty
                 continue
@@ -172,7 +221,7 @@ class RowReader:
                     inside = tag
             elif tag == b"Section":
                 number = next((v for k, v in _attrs(attrs) if k == b"SectionNumber"), b"")
-                row["Section"] = _decoded(number)
+                row["Section"] = decoded(number)
                 plan.append(("Section", number))  # the tag is part of the pattern, so its number is fixed
             else:
                 row[tag.decode()] = ""
@@ -180,7 +229,7 @@ class RowReader:
 
     def _done(self, pos: int, row: dict[str, str], shape: list[bytes] | None, plan: list) -> tuple[int, Row]:
         if self.shapes is not None and shape is not None and not any(isinstance(p, bytes) and b"&" in p for _, p in plan):
-            self.shapes.insert(0, (re.compile(b"".join(shape)), plan))
+            self.shapes.insert(0, Shape(shape, plan))
             del self.shapes[SHAPES:]
         return pos, list(row.items())
 
@@ -189,7 +238,7 @@ class RowReader:
 CLOSES = (b"", b"-->", b"]]>", b"?>")
 
 
-def _after(buf: bytes, mark: bytes, pos: int) -> int:
+def after(buf: bytes, mark: bytes, pos: int) -> int:
     found = buf.find(mark, pos)
     return len(buf) if found < 0 else found + len(mark)
 

@@ -7,19 +7,17 @@ Options: rowTag (Row), columns (JSON list of names; all are found first, if abse
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StringType, StructField, StructType
 
-from rowloom.sources.flatten import RowReader
-from rowloom.sources.splits import SMALL, chained, ranges, read_range, rows_of, size_of, transfer
-
-BATCH_ROWS = 8192
+from rowloom.sources.blocks import BlockReader
+from rowloom.sources.flatten import RowReader, Shape
+from rowloom.sources.splits import SMALL, chained, ranges, read_range, records_of, rows_of, size_of, transfer
 
 
 class Range(InputPartition):
@@ -40,32 +38,7 @@ class ReportReader(DataSourceReader):
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
         if partition.end <= partition.start:
             return
-        size, place = size_of(self.path), {n: k for k, n in enumerate(self.names)}
-        schema = pa.schema([(n, pa.string()) for n in self.names])
-        columns: list[list] = [[] for _ in self.names]
-        count = 0
-        for _, row in rows_of(self.path, partition.start, partition.end, size, partition.state, RowReader(self.tag)):
-            for name, value in row:
-                k = place.get(name)
-                if k is not None:
-                    c = columns[k]
-                    if len(c) < count:
-                        c.extend([None] * (count - len(c)))
-                    c.append(value)
-            count += 1
-            if count == BATCH_ROWS:
-                yield self._batch(columns, count, schema)
-                columns, count = [[] for _ in self.names], 0
-        if count:
-            yield self._batch(columns, count, schema)
-
-    @staticmethod
-    def _batch(columns: list[list], count: int, schema: pa.Schema) -> pa.RecordBatch:
-        for c in columns:
-            c.extend([None] * (count - len(c)))
-        if not columns:
-            return pa.RecordBatch.from_struct_array(pa.array([{}] * count, pa.struct([])))
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], schema=schema)
+        yield from BlockReader(self.tag, self.names).read(self.path, partition.start, partition.end, size_of(self.path), partition.state)
 
 
 class ReportDataSource(DataSource):
@@ -104,31 +77,45 @@ def plan_ranges(spark: SparkSession, path: str, count: int | None = None, most_b
     if len(parts) == 1:
         return [[*parts[0], 0]]
 
-    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"start": b["start"], "t": [json.dumps(transfer(read_range(path, int(a), int(z)))) for a, z in zip(b["start"], b["end"], strict=True)]})
+    def sums(start: int, end: int) -> list[tuple[int, str]]:
+        return [(start, json.dumps(transfer(read_range(path, start, end))))]
 
-    frame = spark.createDataFrame(parts, "start long, end long").repartition(len(parts), "start")
-    got = {r["start"]: json.loads(r["t"]) for r in frame.mapInPandas(sums, "start long, t string").collect()}  # four numbers a range
+    got = {r["start"]: json.loads(r["t"]) for r in _each(spark, parts, sums, "start long, t string").collect()}  # four numbers a range
     return [[a, z, s] for (a, z), s in zip(parts, chained([got[a] for a, _ in parts]), strict=True)]
 
 
+def _each(spark: SparkSession, parts: list, run: Callable, schema: str) -> DataFrame:
+    """The rows that run(*part) makes of every part, one task for each."""
+    held = spark.sparkContext.broadcast(parts)  # two or three numbers a range
+    names, types = zip(*(f.split() for f in schema.split(", ")), strict=True)
+    to = [{"long": pa.int64(), "string": pa.string()}[t] for t in types]
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in b["id"].to_pylist():
+                rows = run(*held.value[k])
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(to)], names=list(names))
+
+    return spark.range(0, len(parts), 1, len(parts)).mapInArrow(task, schema)
+
+
 def discover(spark: SparkSession, path: str, row_tag: str, parts: list[list[int]]) -> list[str]:
     """All column names, in order of first appearance; every range reports each of its names once."""
     if not parts:
         return []
     size = size_of(path)
 
-    def names(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for a, z, s in zip(b["start"], b["end"], b["state"], strict=True):
-                first: dict[str, tuple[int, int]] = {}
-                for at, row in rows_of(path, int(a), int(z), size, int(s), RowReader(row_tag)):
-                    for k, (name, _) in enumerate(row):
-                        if name not in first:
-                            first[name] = (at, k)
-                yield pd.DataFrame({"name": list(first), "at": [p[0] for p in first.values()], "k": [p[1] for p in first.values()]}).astype({"name": object, "at": "int64", "k": "int64"})
-
-    frame = spark.createDataFrame(parts, "start long, end long, state int").repartition(len(parts), "start")
-    got = frame.mapInPandas(names, "name string, at long, k long").groupBy("name").agg(F.min(F.struct("at", "k")).alias("p"))
+    def names(start: int, end: int, state: int) -> list[tuple[str, int, int]]:
+        first: dict[str, tuple[int, int]] = {}
+        seen: set[Shape] = set()
+        for at, _, shape, got in records_of(path, start, end, size, state, RowReader(row_tag)):
+            if shape is not None:
+                if shape in seen:
+                    continue
+                seen.add(shape)
+            for k, name in enumerate(shape.plan if shape else [n for n, _ in got]):
+                first.setdefault(name, (at, k))
+        return [(name, *p) for name, p in first.items()]
+
+    got = _each(spark, parts, names, "name string, at long, k long").groupBy("name").agg(F.min(F.struct("at", "k")).alias("p"))
     return [r["name"] for r in sorted(got.collect(), key=lambda r: tuple(r["p"]))]  # a row per column

@@ -9,13 +9,11 @@ from __future__ import annotations
 
 import contextlib
 import os
-import re
 from typing import BinaryIO
 
 from rowloom.sources.flatten import CLOSES, check_tail
 
-OPENS = re.compile(rb"<!--|<!\[CDATA\[|<\?")
-STATE_OF = {b"<!--": 1, b"<![CDATA[": 2, b"<?": 3}
+OPENS = ((b"<!--", 1), (b"<![CDATA[", 2), (b"<?", 3))
 #: Files under this size are one range.
 SMALL = 8 << 20
 
@@ -68,17 +66,23 @@ def _next_tag(f: BinaryIO, at: int, size: int) -> int:
 
 def leads_to(data: bytes, state: int) -> int:
     """The state at the end of data that begins in `state`."""
-    pos = 0
+    pos, size = 0, len(data)
+    ahead = [-1] * len(OPENS)  # where each mark comes next; looked for again only once it lies behind
     while True:
         if state:
             found = data.find(CLOSES[state], pos)
             if found < 0:
                 return state
             pos, state = found + len(CLOSES[state]), 0
-        m = OPENS.search(data, pos)
-        if not m:
+        for k, (mark, _) in enumerate(OPENS):
+            if ahead[k] < pos:
+                found = data.find(mark, pos)
+                ahead[k] = size if found < 0 else found
+        at = min(ahead)
+        if at == size:
             return 0
-        pos, state = m.end(), STATE_OF[m[0]]
+        mark, state = OPENS[ahead.index(at)]
+        pos = at + len(mark)
 
 
 def transfer(data: bytes) -> list[int]:
@@ -100,17 +104,18 @@ def read_range(path: str, start: int, end: int) -> bytes:
         return f.read(end - start)
 
 
-def rows_of(path: str, start: int, end: int, size: int, state: int, reader):  # noqa: ANN001, ANN201
-    """Rows that open in a range, with their places; what follows the range is read as far as its last row needs."""
+def records_of(path: str, start: int, end: int, size: int, state: int, reader):  # noqa: ANN001, ANN201
+    """What reader.records() finds in a range, with the buffer that it lies in and the buffer's place; what follows the
+    range is read as far as its last row needs."""
     more = 1 << 20
     data, base = read_range(path, start, min(end + more, size)), start
     while True:
         cut = None
-        for at, row in reader.rows(data, 0, end - base, state):
-            if row is None:
+        for at, shape, got in reader.records(data, 0, end - base, state):
+            if got is None:
                 cut = at
             else:
-                yield base + at, row
+                yield base + at, data, shape, got
         if cut is None:
             return
         if base + len(data) >= size:
@@ -118,3 +123,9 @@ def rows_of(path: str, start: int, end: int, size: int, state: int, reader):  #
         more *= 4
         base, state = base + cut, 0
         data = read_range(path, base, min(max(end, base) + more, size))
+
+
+def rows_of(path: str, start: int, end: int, size: int, state: int, reader):  # noqa: ANN001, ANN201
+    """Rows that open in a range, with their places."""
+    for at, data, shape, got in records_of(path, start, end, size, state, reader):
+        yield at, shape.row(data, got) if shape else got

@@ -9,6 +9,7 @@ from pyspark.errors import PySparkException
 
 from rowloom import CastTypes, DropFields, FilterRows, OrderFields, Pipeline, PlanError, RenameFields, ReportSource, XmlError, collect, to_csv, to_dataframe
 from rowloom.plans import memory_bytes
+from rowloom.sources import blocks
 from rowloom.sources.flatten import RowReader, flatten
 from rowloom.sources.splits import chained, leads_to, ranges, rows_of, transfer
 
@@ -74,6 +75,37 @@ def test_against_a_tree_in_any_ranges(seed, tmp_path):
         assert got == by_tree(data)
 
 
+def mixed_report(seed: int, rows: int = 120) -> bytes:
+    """Many shapes, both kinds of quotes, entities, comments, CDATA, repeated names, texts that no value takes."""
+    r, out = random.Random(seed), ["<?xml version='1.0'?><Report>"]
+    values = ["", "a", "&lt;b&gt;", "é", "日本", " x ", '"q"', "long " * 40]
+    for _ in range(rows):
+        out.append(r.choices(["", "<!-- <Row><Field Name='x'/></Row> -->", "<![CDATA[ <Row/> ]]>"], [94, 3, 3])[0])
+        quote = r.choice("\"\"\"'")
+        attrs = r.choice(["", f" Level={quote}{r.randrange(3)}{quote}", ' B="a&lt;Row x>"', ' C=""'])
+        body = "".join(f'<Field Name="{n}"><FormattedValue>{r.choice(["", "q"])}</FormattedValue><Value>{r.choice(values)}</Value></Field>\n' for n in "abcd" if r.random() < 0.65)
+        more = ['<Section SectionNumber="7"/><Other>some text</Other><Text Name="t"><TextValue>v</TextValue></Text>', '<Field Name="a"><!-- c --><Value>z</Value></Field>', '<Field Name="a"><Value>dup</Value></Field>']
+        out.append(f"<Group><Row{attrs}>{body}{r.choices(['', *more], [85, 5, 5, 5])[0]}</Row></Group>" if r.random() < 0.95 else '<Row a="1"/><RowItem/>')
+    return "\n".join([*out, "</Report>"]).encode()
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_blocks_read_what_tokens_read(seed, tmp_path, monkeypatch):
+    data, names = mixed_report(seed), [*"abcdtBC", "Level", "Section", "Other", "Field"]
+    path = str(tmp_path / "r.xml")
+    (tmp_path / "r.xml").write_bytes(data)
+    want = [tuple(dict(row).get(n) for n in names) for row in flatten(data, shapes=False)]
+    assert [tuple(dict(row).get(n) for n in names) for row in flatten(data)] == want
+    for block, tail in ((1 << 21, 1 << 16), (3000, 500), (200, 3)):
+        monkeypatch.setattr(blocks, "BLOCK", block)
+        monkeypatch.setattr(blocks, "TAIL", tail)
+        for count in (1, 3, 11):
+            parts = ranges(path, len(data), count)
+            states = chained([transfer(data[a:b]) for a, b in parts])
+            got = [tuple(x.values()) for (a, b), s in zip(parts, states, strict=True) for t in blocks.BlockReader("Row", names).read(path, a, b, len(data), s) for x in t.to_pylist()]
+            assert got == want
+
+
 def test_states():
     assert [leads_to(b"<a><!-- x", s) for s in range(4)] == [1, 1, 2, 3]
     assert leads_to(b"x --> <![CDATA[ ]]> <?p", 1) == 3
