@@ -38,13 +38,21 @@ def _half_keys() -> Column:
     return F.expr(f"IF(n % 2 = 0, array({side('n')}), array({side('(n - 1)')}, {side('(n + 1)')}))")
 
 
+def _prefixes(w: str) -> str:
+    """Hashes of the first 0, 1, ... n words of w, order and length included. Chained from eight words to eight
+    words, so each takes at most seven words more."""
+    chain = "aggregate(sequence(0, shiftright(n, 3)), CAST(array() AS ARRAY<BIGINT>), (a, k) -> concat(a, array(IF(k = 0, 0L, xxhash64(get(a, k - 1), slice(x, 8 * k - 7, 8))))))"
+    each = "transform(sequence(0, n), i -> xxhash64(get(c, shiftright(i, 3)), slice(x, i - i % 8 + 1, i % 8)))"
+    return f"transform(array({w}), x -> transform(array({chain}), c -> {each})[0])[0]"
+
+
 def _variants() -> Column:
-    """Keys of w. A sequence is hashed as the xor of the hashes of its neighbouring pairs, so that leaving a word
-    out takes a constant number of steps."""
+    """Keys of w: place, hash of the words before it and hash of those after it, for every word left out and every gap.
+    Lines that share a key are one edit apart, but for a chance equality of 64-bit hashes."""
     return F.expr("""
-      array_distinct(concat(
-        transform(sequence(0, n - 1), i -> xxhash64(all ^ get(b, i) ^ get(b, i + 1) ^ xxhash64(coalesce(get(w, i - 1), '\n'), coalesce(get(w, i + 1), '\n')), i)),
-        transform(b, (x, i) -> xxhash64(all, i))))""")
+      concat(
+        transform(sequence(0, n - 1), i -> xxhash64(get(before, i), get(after, n - 1 - i), i)),
+        transform(sequence(0, n), i -> xxhash64(get(before, i), get(after, n - i), i)))""")
 
 
 def _one_edit(a: str, b: str) -> Column:
@@ -87,9 +95,8 @@ def _near(lines: DataFrame, classes: DataFrame) -> DataFrame:
     mark = bitmap(live.select(where("first.").alias("x")))
     held = let_through(lines, mark, where("")).select("h", F.xxhash64(F.lit(1), "line").alias("h2"), _place().alias("first"), "line").dropDuplicates(["h", "h2", "first"])
     held = written(held.join(live, ["h", "h2", "first"]), "held").withColumn("w", words(F.col("line"))).withColumn("n", F.size("w"))
-    held = held.withColumn("b", F.expr("transform(sequence(0, n), i -> xxhash64(coalesce(get(w, i - 1), '\n'), coalesce(get(w, i), '\n')))"))
-    held = held.withColumn("all", F.expr("aggregate(b, CAST(0 AS BIGINT), (a, x) -> a ^ x)"))
-    keys = held.select("h", "h2", "first", F.explode(_variants()).alias("key"))
+    held = held.withColumn("before", F.expr(_prefixes("w"))).withColumn("after", F.expr(_prefixes("reverse(w)")))
+    keys = written(held.select("h", "h2", "first", _variants().alias("keys")), "keys").select("h", "h2", "first", F.explode("keys").alias("key"))
     groups = written(keys.groupBy("key").agg(F.min("first").alias("hub"), F.count("*").alias("c")).where("c > 1").select("key", "hub"), "groups")
     mark = bitmap(groups.select("key"))
     pairs = let_through(keys, mark, F.col("key")).join(groups, "key").where(F.col("hub") < F.col("first")).select("h", "h2", "first", "hub").distinct()

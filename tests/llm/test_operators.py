@@ -159,6 +159,19 @@ def test_line_dedup(docs, none, bound):
     assert linededup.dedup_lines(none).columns == none.columns and linededup.dedup_lines(none).count() == 0
 
 
+def test_line_dedup_of_permuted_cells(spark):
+    """Rows of the same cells in another order, or with cells that cancel, do not hide a neighbour from one another."""
+    r = random.Random(11)
+    cells = ["3", "5", "7", "9"]
+    rows = ["| 3 | 5 | 7 |", "| 5 | 3 | 7 |", "| 5 | 3 | 9 |", *("| " + " | ".join(r.choices(cells, k=r.randrange(3, 12))) + " |" for _ in range(150))]
+    rows += [" ".join(r.choices("ab", k=r.randrange(5, 12))) for _ in range(40)]
+    d = spark.createDataFrame([(k, x) for k, x in enumerate(rows)], "doc_id long, text string")
+    near = lambda a, b: abs(len(a) - len(b)) < 2 and edits(a, b) < 2
+    want = {k: "" if any(near(words(x), words(y)) for y in rows[:k]) else x for k, x in enumerate(rows)}
+    assert want[1] and not want[2]
+    assert {x["doc_id"]: x["text"] for x in linededup.dedup_lines(d).collect()} == want
+
+
 # --- language
 
 
