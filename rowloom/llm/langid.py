@@ -20,8 +20,10 @@ from rowloom.llm.common import table
 
 #: Dimensions; seed of the letters' vectors; texts that train a language, about; languages at most (the most frequent).
 DIMENSIONS, SEED, TRAIN_TEXTS, MAX_LANGUAGES = 1024, 20, 5000, 1000
-#: A letter is its code point's low byte (scripts' letters stay apart); this one stands for whatever is no letter.
+#: A letter is its code point; this one stands for whatever is no letter.
 GAP = 32
+#: Code points below this have a table of their pairs, which only spares work; bits of a code point in a trigram.
+TABLE, BITS = 256, 21
 
 
 @functools.lru_cache(maxsize=1)
@@ -31,10 +33,31 @@ def _letters() -> np.ndarray:
 
 @functools.lru_cache(maxsize=2)
 def _vectors(dimensions: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bound vectors of all letter pairs (first letter permuted twice, second once), and of the last letter."""
-    base = np.random.default_rng(seed).choice(np.array([-1, 1], dtype=np.int8), (256, dimensions))
+    """Bound vectors of the table's letter pairs (first letter permuted twice, second once), and of the last letter."""
+    base = np.random.default_rng(seed).choice(np.array([-1, 1], dtype=np.int8), (TABLE, dimensions))
     pairs = np.roll(base, 2, axis=1)[:, None, :] * np.roll(base, 1, axis=1)[None, :, :]
-    return pairs.reshape(65536, dimensions), base
+    return pairs.reshape(TABLE * TABLE, dimensions), base
+
+
+@functools.lru_cache(maxsize=1 << 14)
+def _letter(point: int, dimensions: int, seed: int) -> np.ndarray:
+    """A letter's own vector, drawn from its whole code point."""
+    if point < TABLE:
+        return _vectors(dimensions, seed)[1][point]
+    return np.random.default_rng([seed, point]).choice(np.array([-1, 1], dtype=np.int8), dimensions)
+
+
+def _bound(grams: np.ndarray, dimensions: int, seed: int) -> np.ndarray:
+    """The vectors of trigrams, a row each."""
+    mask = (1 << BITS) - 1
+    a, b, c = grams >> 2 * BITS, (grams >> BITS) & mask, grams & mask
+    if max(a.max(), b.max(), c.max()) < TABLE:
+        pairs, last = _vectors(dimensions, seed)
+        return pairs[a * TABLE + b] * last[c]
+    points, at = np.unique(np.concatenate([a, b, c]), return_inverse=True)
+    base = np.stack([_letter(int(p), dimensions, seed) for p in points])
+    i, j, k = at.reshape(3, -1)
+    return np.roll(base, 2, axis=1)[i] * np.roll(base, 1, axis=1)[j] * base[k]
 
 
 def trigrams(text: str) -> np.ndarray:
@@ -42,14 +65,12 @@ def trigrams(text: str) -> np.ndarray:
     points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype="<u4")
     letter = _letters()[points]
     if not letter.any():
-        return np.zeros(0, dtype=np.int32)
-    low = (points & 255).astype(np.int32)
-    low[low == GAP] = GAP - 1
-    codes = np.concatenate(([GAP], np.where(letter, low, GAP), [GAP]))
+        return np.zeros(0, dtype=np.int64)
+    codes = np.concatenate(([GAP], np.where(letter, points.astype(np.int64), GAP), [GAP]))
     keep = np.ones(len(codes), dtype=bool)
     keep[1:] = (codes[1:] != GAP) | (codes[:-1] != GAP)
     c = codes[keep]
-    return (c[:-2] << 16) | (c[1:-1] << 8) | c[2:]
+    return (c[:-2] << 2 * BITS) | (c[1:-1] << BITS) | c[2:]
 
 
 def vector(text: str | None, dimensions: int = DIMENSIONS, seed: int = SEED) -> np.ndarray | None:
@@ -57,12 +78,10 @@ def vector(text: str | None, dimensions: int = DIMENSIONS, seed: int = SEED) ->
     grams = trigrams(text) if text else ()
     if not len(grams):
         return None
-    pairs, last = _vectors(dimensions, seed)
     kinds, times = np.unique(grams, return_counts=True)
     out = np.zeros(dimensions, dtype=np.float32)
     for k in range(0, len(kinds), 4096):
-        some = kinds[k : k + 4096]
-        out += times[k : k + 4096].astype(np.float32) @ (pairs[some >> 8] * last[some & 255]).astype(np.float32)
+        out += times[k : k + 4096].astype(np.float32) @ _bound(kinds[k : k + 4096], dimensions, seed).astype(np.float32)
     norm = float(np.sqrt(out @ out))
     return out / norm if norm else out
 

@@ -194,6 +194,21 @@ def test_bundle_is_the_sum_of_bound_letters():
     assert np.allclose(langid.vector("ABca!", 64), want / np.linalg.norm(want))
 
 
+def test_scripts_are_told_apart(spark):
+    """Scripts whose code points share their low bytes, and letters inside and outside the table side by side."""
+    r = random.Random(4)
+    starts = {"hi": 0x0915, "pa": 0x0A15, "te": 0x0C15}
+    shapes = [[r.choice((0, 1, 2, 5, 6, 7, 0x13, 0x19)) for _ in range(60)] for _ in range(20)]
+    rows = [(3 * k + j, "".join(chr(at + x) for x in shape), lang) for k, shape in enumerate(shapes) for j, (lang, at) in enumerate(starts.items())]
+    assert all(t.isalpha() for _, t, _ in rows)
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {(x["doc_id"], x["lang_pred"]) for x in langid.predict(d, *langid.train(d)).collect()} == {(k, x) for k, _, x in rows}
+    vec = lambda c: langid._letter(ord(c), 64, langid.SEED).astype(int)
+    codes = " aध漢b "
+    want = sum(np.roll(vec(a), 2) * np.roll(vec(b), 1) * vec(c) for a, b, c in zip(codes, codes[1:], codes[2:], strict=False))
+    assert np.allclose(langid.vector("aध漢b", 64), want / np.linalg.norm(want))
+
+
 # --- quality
 
 
