@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from rowloom.llm.common import bitmap, flagged, let_through, table, words, written
 
-#: Lines of fewer words are never touched: one edit in four words leaves a similarity under 0.8.
+#: Lines of fewer words have no near copies: one edit in four words leaves a similarity under 0.8. Their exact
+#: copies go only where short_copies is set.
 MIN_WORDS = 5
 
 
@@ -62,17 +63,19 @@ def _one_edit(a: str, b: str) -> Column:
     return F.expr(f"abs(size({a}) - size({b})) <= 1 AND {ends}")
 
 
-def dropped_lines(docs: DataFrame, max_edits: int = 1, min_words: int = MIN_WORDS) -> DataFrame:
+def dropped_lines(docs: DataFrame, max_edits: int = 1, min_words: int = MIN_WORDS, short_copies: bool = False) -> DataFrame:
     """id, th, drop: for every text (by doc_id and text hash) that loses lines, their numbers from 0.
 
     A line of at least min_words words goes if an equal line, or one within max_edits (0 or 1) word edits,
-    comes earlier - whether or not that one stays. Rows repeating doc_id and text count as one text.
+    comes earlier - whether or not that one stays. With short_copies, a line of fewer words, but not a blank one,
+    goes too if an equal line comes earlier. Rows repeating doc_id and text count as one text.
     """
     if max_edits not in (0, 1):
         raise ValueError("max_edits must be 0 or 1")
     lines = _lines(docs)
-    sized = lines.withColumn("w", words(F.col("line"))).withColumn("n", F.size("w")).where(F.col("n") >= min_words)
-    keyed = sized.select(F.xxhash64(F.lit(1), "line").alias("h2"), "h", _place().alias("at"), _half_keys().alias("keys"))
+    sized = lines.withColumn("w", words(F.col("line"))).withColumn("n", F.size("w")).where(F.col("n") >= (1 if short_copies else min_words))
+    keys = F.when(F.col("n") >= min_words, _half_keys()).otherwise(F.array().cast("array<bigint>")) if short_copies else _half_keys()
+    keyed = sized.select(F.xxhash64(F.lit(1), "line").alias("h2"), "h", _place().alias("at"), keys.alias("keys"))
     classes = keyed.groupBy("h", "h2").agg(F.min("at").alias("first"), F.max("at").alias("last"), F.first("keys").alias("keys"))
     classes = written(classes, "classes")
     again = classes.where(F.col("first") != F.col("last")).select("h", "h2", "first", F.lit(False).alias("near"))
@@ -105,13 +108,13 @@ def _near(lines: DataFrame, classes: DataFrame) -> DataFrame:
     return pairs.select("h", "h2", "first", F.lit(True).alias("near")).distinct()
 
 
-def dedup_lines(docs: DataFrame, max_edits: int = 1, min_words: int = MIN_WORDS) -> DataFrame:
+def dedup_lines(docs: DataFrame, max_edits: int = 1, min_words: int = MIN_WORDS, short_copies: bool = False) -> DataFrame:
     """docs, all columns, with texts that have lost their repeated lines (n_chars follows, if there is one).
 
     The remaining lines keep their order and are joined by line feeds; a text of which nothing remains is empty.
-    Null texts stay null; empty and short lines stay. Texts that lose nothing are not moved between tasks.
+    Null texts stay null; blank lines stay, and short ones unless short_copies is set. Texts that lose nothing are not moved between tasks.
     """
-    drops = written(dropped_lines(docs, max_edits, min_words), "drops")
+    drops = written(dropped_lines(docs, max_edits, min_words, short_copies), "drops")
     mark = bitmap(drops.select(F.xxhash64("id", "th")))
     d = docs.withColumn("rowloom_th", F.xxhash64("text"))
     d = flagged(d, mark, F.xxhash64("doc_id", "rowloom_th"), "rowloom_touched")

@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from rowloom.llm import chat, jaccard, langid, linededup, mixing, packing, quality, sharding, topk, toxicity
 from rowloom.llm.components import components
 
@@ -172,6 +173,13 @@ def test_line_dedup_of_permuted_cells(spark):
     assert {x["doc_id"]: x["text"] for x in linededup.dedup_lines(d).collect()} == want
 
 
+def test_pipeline_drops_copies_of_short_lines(spark):
+    texts = ["All rights reserved.\n\n日本語の行です", "one two three four\n\nAll rights reserved.", "日本語の行です\none two three five\n \nAll rights reserved.", " \n"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = [texts[0], "one two three four\n", "one two three five\n ", " \n"]
+    assert [r["text"] for r in corpus_pipeline.drop_repeated_lines(spark, d, "").orderBy("doc_id").collect()] == want
+
+
 # --- language
 
 
