@@ -34,9 +34,11 @@ GENERAL = (
     "imbecile bastard bitch asshole jerk crap shit fuck fucking whore slut retard retarded"
 ).split()
 WORD = re.compile(r"[^\W\d_]+")
+#: What PATTERNS[1] ends in; a text without any of them cannot match it.
+INSULTS = "idiot moron loser clown stupid pathetic worthless disgusting scum trash".split()
 PATTERNS = (
     re.compile(r"\b(?:shut up|kill yourself|go to hell|drop dead|hate you|piss off|screw you)\b"),
-    re.compile(r"\byou(?:'re| are)? (?:an? |all |such an? |nothing but )?(?:\w+ )?(?:idiot|moron|loser|clown|stupid|pathetic|worthless|disgusting|scum|trash)"),
+    re.compile(r"\byou(?:'re| are)? (?:an? |all |such an? |nothing but )?(?:\w+ )?(?:" + "|".join(INSULTS) + ")"),
     re.compile(r"\b[a-z]{1,3}[*#@$%]{2,}[a-z]{0,3}\b"),
 )
 
@@ -78,7 +80,8 @@ def signals(text: str | None, known: Parts) -> list[float]:
         if k >= 0:
             by_part[k] += 1
             kinds.add(w)
-    return [float(len(found)), sum(by_part), float(len(kinds)), *by_part, *(float(len(p.findall(low))) if kinds or k != 1 else 0.0 for k, p in enumerate(PATTERNS))]
+    insult = any(x in low for x in INSULTS)
+    return [float(len(found)), sum(by_part), float(len(kinds)), *by_part, *(float(len(p.findall(low))) if insult or k != 1 else 0.0 for k, p in enumerate(PATTERNS))]
 
 
 def votes(s: np.ndarray) -> np.ndarray:

@@ -386,6 +386,13 @@ def test_toxicity(spark):
     assert [x["predicted"] for x in toxicity.score(hard, empty).orderBy("doc_id").collect()] == [0, 0, 0, 1, 1]
 
 
+def test_every_pattern_reads_every_text():
+    known = toxicity.Parts(frozenset(toxicity.GENERAL))
+    for text in ("You scumbag", "you are such a moronic person", "you're an utterly trashy", "no insult at all, shut up", "an idiot", "clownfish you", "", None, "s**t you losers"):
+        low = (text or "").lower()
+        assert toxicity.signals(text, known)[-len(toxicity.PATTERNS) :] == [len(p.findall(low)) for p in toxicity.PATTERNS]
+
+
 def test_label_model_shares_the_voice_of_copies():
     r = np.random.default_rng(0)
     y = r.random(4000) < 0.2
