@@ -24,6 +24,20 @@ def words(text: Column) -> Column:
     return F.when(F.length(trimmed) > 0, F.split(trimmed, SPACES_RE)).otherwise(F.array().cast("array<string>"))
 
 
+def line_words(line: Column) -> Column:
+    """words() of a text without line feeds, by a plain split at spaces."""
+    plain = F.when(line.rlike(r"[\t\x0B\f\r]"), F.translate(line, "\t\x0b\x0c\r", "    ")).otherwise(line)
+    return F.array_remove(F.split(plain, " "), "")
+
+
+def fresh_names(df: DataFrame, *names: str) -> list[str]:
+    """Column names like these that df does not have, in any spelling."""
+    taken, mark = {c.lower() for c in df.columns}, "rowloom"
+    while any(f"{mark}_{n}".lower() in taken for n in names):
+        mark += "_"
+    return [f"{mark}_{n}" for n in names]
+
+
 _own: dict[str, str] = {}
 
 
@@ -83,9 +97,12 @@ def bitmap(hashes: DataFrame) -> DataFrame:
 def flagged(df: DataFrame, marks: DataFrame, hash_col: Column, name: str) -> DataFrame:
     """df with a boolean column: whether its hash may have been marked."""
     word, bit = _bit(hash_col)
-    out = df.withColumn("rowloom_w", word).withColumn("rowloom_b", bit).join(F.broadcast(marks), F.col("rowloom_w") == F.col("rowloom_word"), "left")
-    return out.withColumn(name, F.coalesce(F.getbit("rowloom_bits", F.col("rowloom_b")) == 1, F.lit(False))).drop("rowloom_w", "rowloom_b", "rowloom_word", "rowloom_bits")
+    w, b, at, bits = fresh_names(df, "w", "b", "word", "bits")
+    marks = F.broadcast(marks.toDF(at, bits))  # BITMAP_BITS / 64 rows at most
+    out = df.withColumns({w: word, b: bit}).join(marks, F.col(w) == F.col(at), "left")
+    return out.withColumn(name, F.coalesce(F.getbit(bits, F.col(b)) == 1, F.lit(False))).drop(w, b, at, bits)
 
 
 def let_through(df: DataFrame, marks: DataFrame, hash_col: Column) -> DataFrame:
-    return flagged(df, marks, hash_col, "rowloom_flag").where("rowloom_flag").drop("rowloom_flag")
+    (flag,) = fresh_names(df, "flag")
+    return flagged(df, marks, hash_col, flag).where(flag).drop(flag)
