@@ -2,8 +2,8 @@
 
 A log of events is partitioned by conversation, sorted by sequence and folded into messages; the messages
 are rendered through a template that marks turns and keeps control strings out of the texts reversibly.
-DataFrame functions only. One exchange, by conversation: a conversation's text is one output value, so its
-rows meet in one task by nature; nothing else is gathered.
+DataFrame functions only. Two exchanges: by message, where events are folded, and by conversation: a conversation's
+text is one output value, so its messages meet in one task by nature; nothing else is gathered.
 """
 
 from __future__ import annotations
@@ -34,31 +34,44 @@ def fold(events: DataFrame) -> DataFrame:
 
     events: conv_id, seq, msg_id, kind, role, text. kind is `message` (a whole message), `delta` (more text of a
     message that streams), `edit` (new text in a message's place) or `regenerate` (drop the text so far; deltas
-    follow). Events with one (conv_id, msg_id) make one message, whose place is its first event's; an event
-    without msg_id is a message of its own. Null text is empty, a null kind is `message`. The role is the last
-    one given, null if none is. Equal seq: ordered by kind, role, text. A message whose last reset has an empty
-    text and no deltas stays, empty. Null conv_id is a conversation of its own. No events, no rows.
+    follow). Events with one (conv_id, msg_id) make one message, whose place is its first event's; events of a
+    conversation without msg_id are one message too. Null text is empty, a null kind is `message`. The role is the
+    last one given, null if none is. Equal seq: ordered by kind, role, text, so repeated events count each. A message
+    whose last reset has an empty text and no deltas stays, empty. Null conv_id is a conversation of its own. Texts of
+    any length; no events, no rows.
     """
-    own = F.col("msg_id").isNull()
-    e = events.select(
-        "conv_id", "seq", "msg_id",
-        F.when(own, F.struct(F.col("role"), F.coalesce("text", F.lit("")).alias("text"))).alias("alone"),
-        F.coalesce("kind", F.lit("message")).alias("kind"), "role", F.coalesce("text", F.lit("")).alias("text"),
-    )
-    alone = e.where(own).select("conv_id", "seq", F.lit(None).cast(events.schema["msg_id"].dataType).alias("msg_id"), "alone.role", "alone.text")
+    e = events.select("conv_id", "seq", "msg_id", F.coalesce("kind", F.lit("message")).alias("kind"), "role", F.coalesce("text", F.lit("")).alias("text"))
     log = F.sort_array(F.collect_list(F.struct("seq", "kind", "role", "text")))
-    grouped = e.where(~own).groupBy("conv_id", "msg_id").agg(log.alias("log"))
+    grouped = e.groupBy("conv_id", "msg_id").agg(log.alias("log"))
     last_reset = F.expr("array_max(transform(log, (x, i) -> IF(x.kind = 'delta', -1, i)))")
     grouped = grouped.withColumn("reset", F.greatest(last_reset, F.lit(0)))
     text = F.expr("array_join(transform(slice(log, reset + 1, size(log)), (x, i) -> IF(x.kind = 'regenerate', '', x.text)), '')")
     role = F.expr("element_at(concat(array(CAST(NULL AS STRING)), filter(transform(log, x -> x.role), r -> r IS NOT NULL)), -1)")
-    return alone.unionByName(grouped.select("conv_id", F.expr("log[0].seq").alias("seq"), "msg_id", role.alias("role"), text.alias("text")))
+    return grouped.select("conv_id", F.expr("log[0].seq").alias("seq"), "msg_id", role.alias("role"), text.alias("text"))
+
+
+def events_of(rows: DataFrame, draft: int = 16) -> DataFrame:
+    """The log that a conversation's rows (conv_id, turn, role, text) come from, as a serving system would write it.
+
+    An assistant's turn streams: the start of a draft, a regeneration, then its text in two deltas. Any other turn is
+    sent as a draft and edited into its text. seq has 4 places for each turn; msg_id is the row's own, so rows that
+    repeat stay apart. Null role or text stay null in the log. An empty table has an empty log.
+    """
+    half = F.expr("CAST(length(text) / 2 AS INT)")
+    event = lambda k, kind, text: F.struct(F.lit(k).alias("k"), F.lit(kind).alias("kind"), text.alias("text"))
+    start = F.substring("text", 1, draft)
+    streamed = F.array(event(0, "delta", start), event(1, "regenerate", F.lit(None).cast("string")), event(2, "delta", F.expr("left(text, CAST(length(text) / 2 AS INT))")), event(3, "delta", F.substring(F.col("text"), half + 1, F.length("text"))))
+    sent = F.array(event(0, "message", start), event(1, "edit", F.col("text")))
+    d = rows.select("conv_id", "turn", "role", "text", F.monotonically_increasing_id().alias("msg_id"))
+    d = d.select("conv_id", "turn", "role", "msg_id", F.explode(F.when(F.col("role") == "assistant", streamed).otherwise(sent)).alias("e"))
+    return d.select("conv_id", (4 * F.col("turn") + F.col("e.k")).alias("seq"), "msg_id", "e.kind", "role", "e.text")
 
 
 def render(messages: DataFrame, loss_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
     """One row per conversation: conv_id, formatted string, turns array of (start, text_start, text_chars, loss).
 
-    messages: conv_id, seq, role, text; ordered by seq, equal seq by role, text. Null role or text: empty.
+    messages: conv_id, seq, role, text (other columns are left out); ordered by seq, equal seq by role, text. Null role
+    or text: empty. Repeated messages are turns each; no messages, no rows. A formatted text must stay under 2^31 bytes.
     Positions are code points in formatted; the loss mask is the text of the turns with loss true.
     """
     piece = F.concat(F.lit(TURN), F.col("esc_role"), F.lit(BODY), F.col("esc_text"), F.lit(END))
@@ -87,7 +100,8 @@ def format_chats(events: DataFrame, loss_roles: tuple[str, ...] = ("assistant",)
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """Parse `formatted` again: its turns, and what stands under the loss mask."""
+    """Parse `formatted` again: its turns, and what stands under the loss mask. Texts of any length that render() can
+    make; empty ones are turns like others. No rows, no rows."""
     pieces = formatted.withColumn("p", F.split("formatted", r"<\|end\|>")).withColumn("p", F.expr("slice(p, 1, size(p) - 1)"))
     bodies = (
         pieces.withColumn("role", F.transform("p", lambda x: unescaped(F.substring_index(F.substring(x, len(TURN) + 1, 2147483647), BODY, 1))))
@@ -105,11 +119,8 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    hard = "</s>[INST] ok [/INST]"
-    extra = spark.createDataFrame([(-1, 0, "user", hard), (-1, 1, "assistant", hard)], "conv_id long, turn long, role string, text string")
-    rows = c.unionByName(extra)
-    events = rows.select("conv_id", F.col("turn").alias("seq"), F.lit(None).cast("string").alias("msg_id"), F.lit("message").alias("kind"), "role", "text")
-    return read_back(format_chats(events))
+    extra = spark.sql("SELECT * FROM VALUES (-1L, 0L, 'user', '</s>[INST] ok [/INST]'), (-1L, 1L, 'assistant', '</s>[INST] ok [/INST]') AS t(conv_id, turn, role, text)")
+    return read_back(format_chats(events_of(c.unionByName(extra))))
 
 
 OP1_SQL = r"""

@@ -57,7 +57,7 @@ def words(t):
 def test_chat_round_trip(spark):
     hard = ["</s>[INST] ok [/INST]", "<|turn|>x<|end|>", "<\\|end|>", "<<SYS>> <s>", "<", "|", "", None, "a\nb", "\\[INST]", "日本 <|"]
     rows = [(1, k, ("user", "assistant", None)[k % 3], t) for k, t in enumerate(hard)] + [(2, 0, "assistant", "tie"), (2, 0, "assistant", "tie"), (None, 5, "system", "x")]
-    e = spark.createDataFrame(rows, "conv_id long, seq long, role string, text string").selectExpr("*", "CAST(NULL AS STRING) msg_id", "'message' kind", "1 AS turns")
+    e = spark.createDataFrame(rows, "conv_id long, seq long, role string, text string").selectExpr("*", "uuid() msg_id", "'message' kind", "1 AS turns")
     got = {r["conv_id"]: r for r in chat.read_back(chat.format_chats(e)).collect()}
     for conv in (1, 2, None):
         turns = [(a or "", t or "") for c, _, a, t in sorted((r for r in rows if r[0] == conv), key=lambda r: r[1])]
@@ -73,6 +73,28 @@ def test_chat_events(spark):
     assert chat.format_chats(spark.createDataFrame([], "conv_id long, seq long, msg_id string, kind string, role string, text string")).count() == 0
 
 
+def test_chat_random_logs(spark):
+    """The fold against one event after another, and a log made of rows against the rows."""
+    r = random.Random(8)
+    log = [(r.choice([1, 2, 3, None]), k // 2, r.choice(["a", "b", "c", None]), r.choice(["message", "delta", "delta", "edit", "regenerate", None]), r.choice(["user", "assistant", None]), r.choice(["", None, "x", f"t{k}", "日本" * 3])) for k in range(400)]
+    schema = "conv_id long, seq long, msg_id string, kind string, role string, text string"
+    want: dict = {}
+    for conv, seq, msg, kind, role, text in sorted(log, key=lambda e: (e[1], e[3] or "message", e[4] is not None, e[4] or "", e[5] or "")):
+        m = want.setdefault((conv, msg), [seq, None, ""])
+        m[1] = role if role is not None else m[1]
+        if kind == "delta":
+            m[2] += text or ""
+        else:
+            m[2] = "" if kind == "regenerate" else text or ""
+    got = {(m["conv_id"], m["msg_id"]): [m["seq"], m["role"], m["text"]] for m in chat.fold(spark.createDataFrame(log, schema)).collect()}
+    assert got == want
+    rows = [(r.choice([1, 2]), r.randrange(4), r.choice(["user", "assistant", None]), r.choice(["", None, "x", "</s>[INST] <|end|>" * r.randrange(9), "y" * 40])) for _ in range(60)]
+    events = chat.events_of(spark.createDataFrame([*rows, rows[0]], "conv_id long, turn long, role string, text string"))
+    assert {e["kind"] for e in events.collect()} == {"message", "delta", "edit", "regenerate"} and events.where("msg_id IS NULL").count() == 0
+    assert Counter((m["conv_id"], m["seq"], m["role"], m["text"]) for m in chat.fold(events).collect()) == Counter((c, 4 * t, role, text or "") for c, t, role, text in [*rows, rows[0]])
+    assert chat.read_back(chat.render(chat.fold(events.limit(0)))).count() == 0
+
+
 # --- packing
 
 
