@@ -1,6 +1,6 @@
 """Toxicity by weak supervision.
 
-Many voters - parts of a lexicon, and patterns - fire or abstain on a text. A generative label model estimates by
+Many voters - families of a lexicon, how often its words come, and patterns - fire or abstain on a text. A generative label model estimates by
 EM how often each fires on toxic and on other texts, and how strongly voters depend on each other given the
 label; dependent voters share one voice. A linear classifier is trained on its posterior labels and scores texts.
 The lexicon is a short general one plus words that labelled training texts show to be telling. Fitting takes a
@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import math
 import re
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -24,15 +23,19 @@ from pyspark.sql import functions as F
 from rowloom.llm.common import parts, table, written
 from rowloom.llm.langid import held_out
 
-#: Labelled rows that a fit takes, about; lexicon words learned, at most; parts that lexicon words are dealt to.
-SAMPLE_ROWS, LEARNED_WORDS, LEXICON_PARTS = 20_000, 500, 6
+#: Labelled rows that a fit takes, about.
+SAMPLE_ROWS = 20_000
 #: Lengths of stems.
 STEMS = range(4, 9)
+#: Lexicon families, each a voter: what a person is called, what is said of them, profanity, and whole words and stems
+#: that labelled texts show to be telling.
+FAMILIES = ("person", "quality", "profane", "word", "stem")
 #: A general lexicon of insults.
-GENERAL = (
-    "idiot idiots moron morons stupid dumb loser losers trash scum pathetic worthless disgusting clown clowns garbage filth vermin "
-    "imbecile bastard bitch asshole jerk crap shit fuck fucking whore slut retard retarded"
-).split()
+GENERAL = {
+    "person": "idiot idiots moron morons loser losers trash scum clown clowns garbage filth vermin imbecile jerk".split(),
+    "quality": "stupid dumb pathetic worthless disgusting retard retarded".split(),
+    "profane": "bastard bitch asshole crap shit fuck fucking whore slut".split(),
+}
 WORD = re.compile(r"[^\W\d_]+")
 #: What PATTERNS[1] ends in; a text without any of them cannot match it.
 INSULTS = "idiot moron loser clown stupid pathetic worthless disgusting scum trash".split()
@@ -45,19 +48,26 @@ PATTERNS = (
 
 @dataclass
 class Model:
-    """Lexicon (words, and stems that end in *), what the label model has estimated, weights of the linear classifier."""
+    """Lexicon (the family of words, and of stems that end in *), what the label model has estimated, weights of the
+    linear classifier."""
 
-    lexicon: frozenset[str]
+    lexicon: dict[str, int]
     fires: np.ndarray = field(default_factory=lambda: np.zeros((2, 0)))
     share: np.ndarray = field(default_factory=lambda: np.zeros(0))
     prior: float = 0.1
     weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
 
 
-class Parts(dict):
-    """The lexicon part of every word met so far, -1 for words that are not in it; emptied when it has grown large."""
+def lexicon_of(words: list[str] = (), stems: list[str] = ()) -> dict[str, int]:
+    """The general lexicon and what was learned; a word's general family holds."""
+    learned = dict.fromkeys(words, FAMILIES.index("word")) | dict.fromkeys(stems, FAMILIES.index("stem"))
+    return learned | {w: FAMILIES.index(f) for f, some in GENERAL.items() for w in some}
 
-    def __init__(self, lexicon: frozenset[str]):
+
+class Families(dict):
+    """The lexicon family of every word met so far, -1 for words that are not in it; emptied when it has grown large."""
+
+    def __init__(self, lexicon: dict[str, int]):
         super().__init__()
         self.lexicon = lexicon
 
@@ -65,30 +75,31 @@ class Parts(dict):
         if len(self) > 500_000:
             self.clear()
         hit = next((x for x in (word, *(f"{word[:k]}*" for k in STEMS)) if x in self.lexicon), None)
-        self[word] = out = -1 if hit is None else zlib.crc32(hit.encode()) % LEXICON_PARTS
+        self[word] = out = -1 if hit is None else self.lexicon[hit]
         return out
 
 
-def signals(text: str | None, known: Parts) -> list[float]:
-    """Numbers that voters and classifier read: words, hits, different hits, hits by part, pattern hits."""
+def signals(text: str | None, known: Families) -> list[float]:
+    """Numbers that voters and classifier read: words, hits, different hits, hits by family, pattern hits."""
     low = text.lower() if text else ""
     found = WORD.findall(low)
     of = list(map(known.__getitem__, found))
-    by_part = [0.0] * LEXICON_PARTS
+    by_family = [0.0] * len(FAMILIES)
     kinds = set()
     for w, k in zip(found, of, strict=True) if max(of, default=-1) >= 0 else ():
         if k >= 0:
-            by_part[k] += 1
+            by_family[k] += 1
             kinds.add(w)
     insult = any(x in low for x in INSULTS)
-    return [float(len(found)), sum(by_part), float(len(kinds)), *by_part, *(float(len(p.findall(low))) if insult or k != 1 else 0.0 for k, p in enumerate(PATTERNS))]
+    return [float(len(found)), sum(by_family), float(len(kinds)), *by_family, *(float(len(p.findall(low))) if insult or k != 1 else 0.0 for k, p in enumerate(PATTERNS))]
 
 
 def votes(s: np.ndarray) -> np.ndarray:
-    """Which voters fire: parts of the lexicon, any two hits, two different ones, hits in a hundred words, patterns."""
+    """Which voters fire: families of the lexicon, patterns, any two hits, two different ones (unless they
+    lie over three hundred words apart on the mean, as chance hits in long texts do), a hit in a hundred words."""
     n, hits, kinds = s[:, 0], s[:, 1], s[:, 2]
-    rest = s[:, 3:]
-    return np.column_stack([rest > 0, hits >= 2, kinds >= 2, hits * 100 >= np.maximum(n, 1)]).astype(float)
+    dense = hits * 300 >= n
+    return np.column_stack([s[:, 3:] > 0, (hits >= 2) & dense, (kinds >= 2) & dense, hits * 100 >= np.maximum(n, 1)]).astype(float)
 
 
 def features(s: np.ndarray) -> np.ndarray:
@@ -141,38 +152,41 @@ def linear(x: np.ndarray, q: np.ndarray, ridge: float = 1e-2, rounds: int = 30)
     return w
 
 
-def _words(sample: DataFrame) -> list[str]:
-    """Words and stems (of three words or more) that tell toxic texts: the lower bound (Wilson) of their share of toxic contexts is over a half, for stems over 0.8. A context
-    is the words on both sides, and counts once: near copies of one text do not make its words telling."""
+def _words(sample: DataFrame) -> tuple[list[str], list[str]]:
+    """Words and stems (of three words or more) that tell toxic texts: five toxic contexts or more, and the lower bound
+    (Wilson) of their share of toxic contexts over a half, for stems over 0.8. A context is the words on both sides, and
+    counts once: near copies of one text do not make its words telling. All that pass, which the sample bounds."""
     tokens = F.expr(r"regexp_extract_all(lower(text), '(?U)[^\\W\\d_]+', 0)")
     t = sample.select("toxic", tokens.alias("w")).where(F.size("w") > 0)
     near = F.expr("transform(w, (x, i) -> struct(x AS word, xxhash64(get(w, i - 1), get(w, i + 1)) AS at))")
     t = t.select("toxic", F.explode(near).alias("x")).select("x.word", "x.at", "toxic")
     seen = t.groupBy("word", "at").agg(F.max("toxic").alias("toxic"))
     sums = written(seen.groupBy("word").agg(F.count("*").alias("n"), F.sum("toxic").alias("k")), "words")
-    z, share = 3.0, F.col("k") / F.col("n")
+    z, share = 2.2, F.col("k") / F.col("n")
     lower = (share + z * z / (2 * F.col("n")) - z * F.sqrt(share * (1 - share) / F.col("n") + z * z / (4 * F.col("n") * F.col("n")))) / (1 + z * z / F.col("n"))
-    told = lambda d, name, least: [r[name] for r in d.where("k >= 5").where(lower > least).orderBy(F.desc("k"), name).limit(LEARNED_WORDS).collect()]
+    told = lambda d, name, least: sorted(r[name] for r in d.where("k >= 5").where(lower > least).select(name).collect())
     words = told(sums.where("length(word) >= 3"), "word", 0.5)
     stems = F.explode(F.transform(F.array(*map(F.lit, STEMS)), lambda k: F.when(F.length("word") >= k, F.col("word").substr(F.lit(1), k))))
     by_stem = sums.select(stems.alias("stem"), "n", "k").where("stem IS NOT NULL").groupBy("stem").agg(F.count("*").alias("c"), F.sum("n").alias("n"), F.sum("k").alias("k"))
-    return words + [f"{x}*" for x in told(by_stem.where("c >= 3"), "stem", 0.8)]
+    return words, [f"{x}*" for x in told(by_stem.where("c >= 3"), "stem", 0.8)]
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     """docs: doc_id, text. labels: doc_id, toxic (0 or 1; others and nulls are skipped; of several for one doc_id the
-    largest holds). About `rows` labelled rows, chosen by a hash of doc_id, are fitted; equal texts count once.
-    Without labelled rows the general lexicon alone decides."""
+    largest holds). About `rows` labelled rows, chosen by a hash of doc_id, are fitted; equal texts count once, with
+    their largest label. Null texts and doc_ids teach nothing; other columns are left alone; texts are read whole,
+    however long. Reruns give the same model. Without labelled rows the general lexicon alone decides."""
     labels = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     count = labels.count()
     some = labels.where(F.pmod(F.xxhash64(F.lit(10), "doc_id"), F.lit(1 << 20)) < min(1.0, rows / max(count, 1)) * (1 << 20))
     # The sample's ids: about `rows` of them, whatever the input.
-    sample = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").where("text IS NOT NULL").dropDuplicates(["text"])
-    sample = written(sample.select("doc_id", "text", F.col("toxic").cast("int").alias("toxic")).repartition(parts(rows, 500)), "sample")
-    lexicon = frozenset([*GENERAL, *_words(sample)])
+    sample = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").where("text IS NOT NULL")
+    sample = sample.groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.max("toxic").cast("int").alias("toxic"))
+    sample = written(sample.repartition(parts(rows, 500)), "sample")
+    lexicon = lexicon_of(*_words(sample))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Parts(lexicon)
+        known = Families(lexicon)
         for batch in batches:
             numbers = [signals(t, known) for t in batch["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([batch["doc_id"].cast(pa.string()), batch["toxic"], pa.array(numbers, pa.list_(pa.float64()))], names=["doc_id", "toxic", "s"])
@@ -180,7 +194,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     got = sample.mapInArrow(read, "doc_id string, toxic int, s array<double>").toPandas()  # about `rows` rows of a few numbers
     model = Model(lexicon)
     if got.empty:
-        got = pd.DataFrame({"doc_id": ["a", "b"], "toxic": [1, 0], "s": [signals(" ".join(GENERAL[:3]), Parts(lexicon)), signals("", Parts(lexicon))]})
+        got = pd.DataFrame({"doc_id": ["a", "b"], "toxic": [1, 0], "s": [signals("stupid idiot moron", Families(lexicon)), signals("", Families(lexicon))]})
     got = got.sort_values("doc_id", kind="stable")
     s = np.array(got["s"].tolist())
     v = votes(s)
@@ -191,13 +205,15 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
 
 
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """keep's columns, score (0 to 1) and predicted. Null and empty texts are scored as having no words."""
+    """keep's columns, score (0 to 1) and predicted. Null and empty texts are scored as having no words, texts of any
+    length as a whole; equal texts get equal scores, rows that repeat one each, and docs' other columns are left out.
+    Empty table: no rows."""
     held = docs.sparkSession.sparkContext.broadcast(model)
     kept = docs.select(*keep, F.col("text").alias("rowloom_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
-        known = Parts(m.lexicon)
+        known = Families(m.lexicon)
         for batch in batches:
             if len(batch):
                 x = features(np.array([signals(t, known) for t in batch["rowloom_text"].to_pylist()]))
@@ -209,15 +225,15 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) ->
 
 
 def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
-    """docs, all columns, less those predicted toxic."""
+    """docs, all columns, less those predicted toxic. Rows that repeat go or stay together; no rows, no rows."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("boolean")
     def clean(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         m = held.value
-        known = Parts(m.lexicon)
+        known = Families(m.lexicon)
         for text in texts:
-            s = np.array([signals(t, known) for t in text]).reshape(len(text), LEXICON_PARTS + len(PATTERNS) + 3)
+            s = np.array([signals(t, known) for t in text]).reshape(len(text), len(FAMILIES) + len(PATTERNS) + 3)
             yield pd.Series(features(s) @ m.weights < 0)
 
     return docs.where(clean(F.col("text")))

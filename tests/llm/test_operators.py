@@ -420,7 +420,7 @@ def test_toxicity(spark):
 
 
 def test_every_pattern_reads_every_text():
-    known = toxicity.Parts(frozenset(toxicity.GENERAL))
+    known = toxicity.Families(toxicity.lexicon_of())
     for text in ("You scumbag", "you are such a moronic person", "you're an utterly trashy", "no insult at all, shut up", "an idiot", "clownfish you", "", None, "s**t you losers"):
         low = (text or "").lower()
         assert toxicity.signals(text, known)[-len(toxicity.PATTERNS) :] == [len(p.findall(low)) for p in toxicity.PATTERNS]
@@ -433,3 +433,41 @@ def test_label_model_shares_the_voice_of_copies():
     v = np.column_stack([v, v[:, 0], v[:, 0]])
     fires, share, prior, q = toxicity.label_model(v, (v.sum(axis=1) >= 2) * 0.9, 0.1)
     assert share[0] < 0.6 < share[1] and abs(prior - 0.2) < 0.05 and ((q > 0.5) == y).mean() > 0.95
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_label_model_by_loops(seed):
+    """The same estimates, one text and one voter at a time."""
+    r = np.random.default_rng(seed)
+    v = (r.random((60, 4)) < 0.3).astype(float)
+    start, n, m = (v.sum(axis=1) >= 2) * 0.9, 60, 4
+    q = [min(max(x, 0.02), 0.98) for x in start]
+    for _ in range(5):
+        weight = [[1 - x for x in q], q]
+        fires = [[(sum(weight[y][i] * v[i, j] for i in range(n)) + (0.02, 0.5)[y]) / (sum(weight[y]) + 1) for j in range(m)] for y in (0, 1)]
+        prior = min(max(sum(q) / n, 1e-3), 0.5)
+        share = []
+        for j in range(m):
+            tied = 0.0
+            for k in range(m):
+                for y in (0, 1):
+                    cov = lambda a, b, y=y: sum(weight[y][i] * (v[i, a] - fires[y][a]) * (v[i, b] - fires[y][b]) for i in range(n)) / sum(weight[y])
+                    tied += 0.5 * min(max(cov(j, k) / np.sqrt(max(cov(j, j), 1e-9) * max(cov(k, k), 1e-9)), 0), 1) * (j != k)
+            share.append(1 / (1 + tied))
+        q = []
+        for i in range(n):
+            odds = np.log(prior / (1 - prior)) + sum(share[j] * np.log((fires[1][j] / fires[0][j]) if v[i, j] else (1 - fires[1][j]) / (1 - fires[0][j])) for j in range(m))
+            q.append(1 / (1 + np.exp(-odds)))
+    got = toxicity.label_model(v, start, 0.1, rounds=5)
+    for a, b in zip(got, (fires, share, prior, q), strict=True):
+        assert np.allclose(a, b)
+
+
+def test_toxicity_edges(spark):
+    docs = spark.createDataFrame([(1, "idiot scum " * 3, 1.0), (2, "idiot scum " * 3, 2.0), (3, "fine words here", None), (None, None, 0.0)], "doc_id long, text string, score double")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0), (3, None), (None, 1), (9, 7)], "doc_id long, toxic int")
+    first, second = toxicity.fit(docs, labels), toxicity.fit(docs.repartition(3), labels.repartition(2))
+    assert np.allclose(first.weights, second.weights) and first.lexicon == second.lexicon
+    out = toxicity.score(docs, first)
+    assert out.columns == ["doc_id", "score", "predicted"] and [r["predicted"] for r in out.orderBy("doc_id").collect()] == [0, 1, 1, 0]
+    assert toxicity.score(docs.limit(0), first).count() == 0 and toxicity.without_toxic(docs, first).columns == docs.columns
