@@ -283,9 +283,9 @@ def test_top_k(spark, seed):
     v = r.normal(size=(300, 6)).round(1)
     v[50:120] = v[50]
     rows = [(k, x.tolist()) for k, x in enumerate(v)] + [(300, [1.0, 2.0]), (301, None), (302, [1.0, None]), (303, [float("nan")] * 6), (304, []), (20, v[20].tolist())]
-    d = topk.integers(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
-    got = [(x["query_id"], x["rank"], x["vec_id"], x["score"]) for x in topk.top_k(d, d.where("vec_id % 20 = 0"), 5).collect()]
-    ints = [(k, np.pad(np.floor(64 * np.array(x)), (0, 6 - len(x)))) for k, x in rows if x and None not in x and np.isfinite(x).all()]
+    d = topk.integers(spark.createDataFrame([(*x, 1.0, 0) for x in rows], "vec_id long, embedding array<double>, length double, band int"))
+    got = [(x["query_id"], x["rank"], x["vec_id"], x["score"]) for x in topk.top_k(d, d.where("vec_id % 20 = 0"), 5, band_rows=40).collect()]
+    ints = [(k, np.pad(np.floor(64 * np.array(x)), (0, 6 - len(x)))) for k, x in rows if x is not None and None not in x and np.isfinite(x).all()]
     want = []
     for k, q in {k: x for k, x in ints if k % 20 == 0}.items():
         best = sorted((-int(q @ x), i) for i, x in ints if i != k)[:5]
@@ -299,6 +299,33 @@ def test_top_k_large_numbers(spark):
     assert [tuple(r) for r in topk.top_k(d, d.where("vec_id = 0"), 2).orderBy("rank").collect()] == [(0, 1, 2, 10**18 + 3 * 10**9), (0, 2, 1, 10**18 + 10**9)]
 
 
+def test_top_k_beyond_64_bits(spark):
+    x = [[1e200, -3.0], [1e200, 5.0], [-1e200, 1.0], [2.0, 1e17], [1e308, 1e308], [0.5, 0.25], [2e18, 1.0]]
+    d = topk.integers(spark.createDataFrame(list(enumerate(x)), "vec_id long, embedding array<double>"))
+    ints = [[int(min(max(np.floor(64 * c) if abs(64 * c) < 2**52 else 64 * c, -topk.LARGEST), topk.LARGEST)) for c in v] for v in x]
+    want = []
+    for q in range(7):
+        scores = sorted((-min(max(sum(a * b for a, b in zip(ints[q], ints[c], strict=True)), topk.LOW), topk.HIGH), c) for c in range(7) if c != q)
+        want += [(q, k + 1, c, -s) for k, (s, c) in enumerate(scores[:3])]
+    with np.errstate(over="ignore"):
+        assert sorted(map(tuple, topk.top_k(d, d, 3, band_rows=2).collect())) == want
+
+
+def test_bounds_spare_pairs():
+    """What norm order, a carried score and residual bounds leave to compute."""
+    r = np.random.default_rng(1)
+    c = np.floor(64 * r.normal(size=(6000, 16)) * np.exp(r.normal(size=(6000, 1))) * np.geomspace(4, 0.1, 16))
+    rotation = np.linalg.svd(c, full_matrices=False)[2].T
+    ids, q = np.arange(6000), np.arange(0, 6000, 100)
+    all_, carried = {}, {}
+    s, i = topk.search_block(q, c[q], np.full(60, topk.NONE), ids, c, rotation, 5, 4, all_)
+    again, _ = topk.search_block(q, c[q], s[:, 4], ids, c, rotation, 5, 4, carried)
+    assert carried["pairs"] < all_["pairs"] < 0.6 * 60 * 6000 and (s == again).all()
+    want = c[q] @ c.T
+    want[np.arange(60), q] = topk.NONE
+    assert (s == -np.sort(-want, axis=1)[:, :5]).all()
+
+
 # --- sharding
 
 
