@@ -1,10 +1,11 @@
 """Sharding by a k-d tree over metadata.
 
 A node is cut at the weighted (by bytes) median along its widest dimension, level by level, until leaves reach
-the target bytes. Medians are found for all nodes of a level together, by histograms of bounded size that narrow
-down to one key. A key is the dimension's grid step, then the text's hash: equal texts share it, so a group of
-copies stays whole, unless keeping it whole would leave the halves uneven along every dimension. DataFrame
-functions only; texts are read once, and rows of a few numbers are all that moves.
+the target bytes. Medians are found for all nodes of a level together, by histograms that narrow down to one key. A
+key is the dimension's grid step, then the text's hash: equal texts share it, so a group of copies stays whole, unless
+keeping it whole would leave the halves uneven along every dimension. Nodes, histograms and cuts are tables; the driver
+holds a few numbers of a level. DataFrame functions only; texts are read once, and rows of a few numbers are all that
+moves.
 """
 
 from __future__ import annotations
@@ -14,9 +15,10 @@ from pyspark.sql import functions as F
 
 from rowloom.llm.common import parts, table, written
 
-#: Grid steps of a dimension (bits); histogram rows that the driver gets at once; bytes by which a cut may miss, as
-#: a share of a leaf; rows in a numbering range, about.
+#: Grid steps of a dimension (bits); rows of a level's histograms, about; bytes by which a cut may miss, as a share of a
+#: leaf; rows in a numbering range, about.
 GRID_BITS, HISTOGRAM_ROWS, SLACK, RANGE_ROWS = 20, 1 << 18, 0.01, 4096
+HASH_BITS = 62 - GRID_BITS
 
 
 def text_dimensions() -> list[Column]:
@@ -26,43 +28,30 @@ def text_dimensions() -> list[Column]:
     return [F.log2(size + F.lit(1.0)), (size + 1) / (chars + 1), F.log2(F.lit(1.0) + chars / lines)]
 
 
-def _search(rows: DataFrame, goals: dict[tuple[int, int], float]) -> dict[tuple[int, int], tuple[int, float, float]]:
-    """rows: node, dim, key, size. For every (node, dim) the key at which the running sum of sizes, in key order,
-    passes the goal; the sum before it and its own sum."""
-    spark = rows.sparkSession
-    bins = max(16, min(4096, HISTOGRAM_ROWS // max(1, len(goals))))
-    span = {r["k"]: (r["lo"], r["hi"]) for r in rows.groupBy(F.struct("node", "dim").alias("k")).agg(F.min("key").alias("lo"), F.max("key").alias("hi")).collect()}
-    state = {k: (span[k][0], span[k][1], 0.0) for k in goals if k in span}
-    found: dict[tuple[int, int], tuple[int, float, float]] = {}
-    while state:
-        steps = [(*k, lo, hi, (hi - lo) // bins + 1) for k, (lo, hi, _) in state.items()]
-        s = F.broadcast(spark.createDataFrame(steps, "n int, d int, lo long, hi long, step long"))  # nodes x dimensions rows
-        seen = rows.join(s, (F.col("node") == F.col("n")) & (F.col("dim") == F.col("d"))).where("key BETWEEN lo AND hi")
-        sums = seen.groupBy("node", "dim", F.floor((F.col("key") - F.col("lo")) / F.col("step")).cast("long").alias("bin")).agg(F.sum("size").alias("size"), F.min("key").alias("lo"), F.max("key").alias("hi"))
-        by: dict[tuple[int, int], list] = {}
-        for r in sums.collect():  # HISTOGRAM_ROWS at most
-            by.setdefault((r["node"], r["dim"]), []).append((r["lo"], r["hi"], r["size"]))
-        for k, got in by.items():
-            before = state.pop(k)[2]
-            for lo, hi, size in sorted(got):
-                if before + size >= goals[k] or (lo, hi, size) == max(got):
-                    break
-                before += size
-            if lo == hi:
-                found[k] = (lo, before, float(size))
-            else:
-                state[k] = (lo, hi, before)
-    return found
-
-
-def kd_shards(docs: DataFrame, shards: int | None = None, target_bytes: int | None = None, dims: list[Column] | None = None) -> DataFrame:
-    """doc_id, size (UTF-8 bytes + 1), text_crc32, shard, slot: a row per row of docs.
-
-    Give the number of shards or the bytes of one. dims: numeric columns over docs (null: 0); text_dimensions() by default.
-    Null text: no bytes, checksum of none. slot numbers a shard's rows from 0 without gaps. An
-    empty table gives no rows; with fewer rows than shards some shards stay empty.
-    """
-    spark = docs.sparkSession
+def _search(rows: DataFrame, goals: DataFrame, count: int) -> DataFrame:
+    """rows: node, dim, key, size. goals: node, dim, goal; about count of them. node, dim, key, before, own: for every
+    goal the key at which the running sum of sizes, in key order, passes it (the last key, if none does), the sum
+    before it and its own sum."""
+    bins = max(16, min(1024, HISTOGRAM_ROWS // max(1, count)))
+    state = goals.select("node", "dim", "goal", F.lit(0).cast("long").alias("lo"), F.lit((1 << 63) - 1).alias("hi"), F.lit(0.0).alias("before"))
+    here, found = Window.partitionBy("node", "dim").orderBy("bin"), None
+    while True:
+        step = F.floor(F.col("hi") / bins - F.col("lo") / bins).cast("long") + 1
+        seen = rows.join(state.withColumn("step", step), ["node", "dim"]).where("key BETWEEN lo AND hi")
+        seen = seen.groupBy("node", "dim", "goal", "before", F.expr("(key - lo) DIV step").alias("bin")).agg(F.sum("size").alias("own"), F.min("key").alias("lo"), F.max("key").alias("hi"))
+        seen = seen.withColumn("upto", F.col("before") + F.sum("own").over(here)).withColumn("last", F.lead("bin").over(here).isNull())
+        first = seen.where("upto >= goal OR last").groupBy("node", "dim").agg(F.min(F.struct("bin", "goal", "lo", "hi", "upto", "own")).alias("s"))
+        now = written(first.select("node", "dim", "s.goal", "s.lo", "s.hi", (F.col("s.upto") - F.col("s.own")).alias("before"), F.col("s.own").cast("double").alias("own")), "narrowed")
+        ready = now.where("lo = hi").select("node", "dim", F.col("lo").alias("key"), "before", "own")
+        found = ready if found is None else found.unionByName(ready)
+        state = now.where("lo < hi").drop("own")
+        if state.isEmpty():
+            return found
+
+
+def keyed(docs: DataFrame, dims: list[Column] | None = None) -> tuple[DataFrame, list[str]]:
+    """rid, doc_id, size, text_crc32 and a key for each dimension, a row per row of docs; the keys' names. rid numbers
+    the rows; a key orders by the dimension's grid step (upper bits), then by the text's hash."""
     dims = dims or text_dimensions()
     d = docs.withColumn("text", F.coalesce("text", F.lit("")))
     light = d.select(
@@ -70,57 +59,69 @@ def kd_shards(docs: DataFrame, shards: int | None = None, target_bytes: int | No
         F.xxhash64("text").alias("th"), *(F.coalesce(x.cast("double"), F.lit(0.0)).alias(f"x{k}") for k, x in enumerate(dims)),
     )
     light = written(light, "rows")
-    ends = light.agg(F.count("*"), F.sum("size"), *(f(f"x{k}") for k in range(len(dims)) for f in (F.min, F.max))).first()
-    rows, total = ends[0], ends[1] or 0
-    shards = shards or parts(total, target_bytes)
-    root = [(ends[2 + 2 * k] or 0.0, ends[3 + 2 * k] or 0.0) for k in range(len(dims))]
-    # Grid step in the upper bits, hash in the lower: one long per dimension that orders by value and then by text.
-    hash_bits = 62 - GRID_BITS
-    low = F.shiftrightunsigned("th", 64 - hash_bits)
-    for k, (lo, hi) in enumerate(root):
+    ends = light.agg(*(f(f"x{k}") for k in range(len(dims)) for f in (F.min, F.max))).first()
+    low = F.shiftrightunsigned("th", 64 - HASH_BITS)
+    for k in range(len(dims)):
+        lo, hi = ends[2 * k] or 0.0, ends[2 * k + 1] or 0.0
         step = F.floor((F.col(f"x{k}") - lo) / ((hi - lo) or 1.0) * ((1 << GRID_BITS) - 1)).cast("long")
-        light = light.withColumn(f"k{k}", step * (1 << hash_bits) + low)
+        light = light.withColumn(f"k{k}", step * (1 << HASH_BITS) + low)
     keys = [f"k{k}" for k in range(len(dims))]
-    level = light.select("rid", "doc_id", "size", "text_crc32", *keys, F.lit(0).alias("node"))
-    nodes = {0: shards}  # leaves below each node; a node is named by its first shard
-    while rows and max(nodes.values()) > 1:
-        level = _split(spark, level, nodes, keys, hash_bits, SLACK * total / shards)
-        nodes = {name: n for node, k in nodes.items() for name, n in ((node, (k + 1) // 2), (node + (k + 1) // 2, k // 2)) if n}
-    return _numbered(level.withColumnRenamed("node", "shard"), rows)
-
-
-def _split(spark: SparkSession, level: DataFrame, nodes: dict[int, int], keys: list[str], hash_bits: int, slack: float) -> DataFrame:
-    open_ = {node for node, k in nodes.items() if k > 1}
-    found = level.where(F.col("node").isin(*open_)).groupBy("node").agg(F.sum("size").alias("s"), *(f(F.shiftright(k, hash_bits)).alias(f"{k}{f.__name__}") for k in keys for f in (F.min, F.max))).collect()
-    widest = {r["node"]: sorted(range(len(keys)), key=lambda d: (r[f"k{d}min"] - r[f"k{d}max"], d)) for r in found}
-    goal = {r["node"]: float(r["s"]) * ((nodes[r["node"]] + 1) // 2) / nodes[r["node"]] for r in found}
-    stacked = level.select("node", "size", F.posexplode(F.array(*keys)).alias("dim", "key"))
-    cuts = _search(stacked, {(n, d): g for n, g in goal.items() for d in range(len(keys))})
-    plan, torn = {}, {}
-    for n, order in widest.items():
-        best = None
-        for d in order:
-            key, before, own = cuts[n, d]
-            for cut, left in ((key, before), (key + 1, before + own)):
-                miss = abs(left - goal[n])
-                if best is None or (miss < best[0] and best[0] > slack):
-                    best = (miss, d, cut)
-        plan[n] = (best[1], best[2], -1)
-        if best[0] > slack:  # along every dimension the cut falls into one large group: it is cut by row
-            d = order[0]
-            torn[n] = (d, *cuts[n, d])
-    if torn:
-        t = F.broadcast(spark.createDataFrame([(n, d, key) for n, (d, key, _, _) in torn.items()], "n int, d int, k long"))
-        inside = level.join(t, F.col("node") == F.col("n")).where(F.element_at(F.array(*keys), F.col("d") + 1) == F.col("k"))
-        rids = _search(inside.select("node", F.lit(0).alias("dim"), F.col("rid").alias("key"), "size"), {(n, 0): goal[n] - before for n, (_, _, before, _) in torn.items()})
-        for n, (d, key, before, _) in torn.items():
-            rid, upto, own = rids[n, 0]
-            plan[n] = (d, key, rid + 1 if goal[n] - before - upto > own / 2 else rid)
-    p = F.broadcast(spark.createDataFrame([(n, d, cut, rid, (nodes[n] + 1) // 2) for n, (d, cut, rid) in plan.items()], "n int, d int, cut long, cut_rid long, leaves int"))
-    key = F.element_at(F.array(*keys), F.coalesce(F.col("d"), F.lit(0)) + 1)
-    right = (key > F.col("cut")) | ((key == F.col("cut")) & (F.col("rid") >= F.col("cut_rid")))
-    out = level.join(p, F.col("node") == F.col("n"), "left").withColumn("node", F.when(right, F.col("node") + F.col("leaves")).otherwise(F.col("node")))
-    return written(out.select(*level.columns), "level")
+    return light.select("rid", "doc_id", "size", "text_crc32", *keys), keys
+
+
+def kd_shards(docs: DataFrame, shards: int | None = None, target_bytes: int | None = None, dims: list[Column] | None = None) -> DataFrame:
+    """doc_id, size (UTF-8 bytes + 1), text_crc32, shard, slot: a row per row of docs; other columns are left out.
+
+    Give the number of shards or the bytes of one. dims: numeric columns over docs (null: 0); text_dimensions() by default.
+    Null text: no bytes, checksum of none. slot numbers a shard's rows from 0 without gaps. Equal texts share a shard
+    unless a cut must go through their group, which then is dealt by row; so are rows that repeat. A text longer than a
+    shard makes its shard larger. An empty table gives no rows; with fewer rows than shards some shards stay empty.
+    """
+    light, keys = keyed(docs, dims)
+    rows, total = light.agg(F.count("*"), F.sum("size")).first()
+    shards = shards or parts(total or 0, target_bytes)
+    return _numbered(leaves(light, keys, shards, SLACK * (total or 0) / shards).withColumnRenamed("node", "shard"), rows)
+
+
+def leaves(rows: DataFrame, keys: list[str], shards: int, slack: float) -> DataFrame:
+    """rows of keyed() with their leaf: node, a leaf's number. slack: bytes by which a cut may miss its goal before
+    other dimensions, and last rows in place of keys, are cut."""
+    level, count = rows.withColumns({"node": F.lit(0), "leaves": F.lit(shards)}), 1
+    while count < shards and not rows.isEmpty():
+        level, count = _split(level, keys, slack, count), 2 * count
+    return level.drop("leaves")
+
+
+def _split(level: DataFrame, keys: list[str], slack: float, count: int) -> DataFrame:
+    """One level further; a node is named by its first leaf. leaves: leaves below a node, the larger half to the left."""
+    open_ = level.where("leaves > 1")
+    grid = lambda f, k: f(F.shiftright(k, HASH_BITS))
+    nodes = open_.groupBy("node").agg(F.sum("size").alias("s"), F.first("leaves").alias("leaves"), F.array(*(grid(F.max, k) - grid(F.min, k) for k in keys)).alias("widths"))
+    goal = (F.col("s") * F.floor((F.col("leaves") + 1) / 2) / F.col("leaves")).cast("double")
+    by_width = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("width"), "dim"))
+    goals = nodes.select("node", goal.alias("goal"), F.posexplode("widths").alias("dim", "width")).withColumn("rank", by_width)
+    goals = written(goals.select("node", "dim", "goal", "rank"), "goals")
+    stacked = open_.select("node", "size", F.posexplode(F.array(*keys)).alias("dim", "key"))
+    cuts = _search(stacked, goals, count * len(keys)).join(goals, ["node", "dim"])
+    # Before the key or behind it, whichever misses less; the widest dimension that misses by no more than slack, else the best.
+    ways = F.array(F.struct(F.abs(F.col("before") - F.col("goal")).alias("miss"), F.col("key").alias("cut")), F.struct(F.abs(F.col("before") + F.col("own") - F.col("goal")).alias("miss"), (F.col("key") + 1).alias("cut")))
+    cuts = written(cuts.withColumn("way", F.array_min(ways)), "cuts")
+    choice = F.struct((F.col("way.miss") > slack).alias("over"), F.when(F.col("way.miss") > slack, F.col("way.miss")).otherwise(0.0).alias("miss"), "rank", "dim", "way.cut")
+    plan = cuts.groupBy("node").agg(F.min(choice).alias("p"))
+    plan = written(plan.select("node", "p.over", "p.dim", "p.cut", F.lit(-1).cast("long").alias("cut_rid")), "plan")
+    if not plan.where("over").isEmpty():  # along every dimension the cut falls into one large group: it is cut by row
+        torn = cuts.where("rank = 1").join(plan.where("over").select("node"), "node").select("node", "dim", "key", (F.col("goal") - F.col("before")).alias("goal"))
+        inside = open_.join(torn, "node").where(F.element_at(F.array(*keys), F.col("dim") + 1) == F.col("key")).select("node", F.lit(0).alias("dim"), F.col("rid").alias("key"), "size")
+        rids = _search(inside, torn.withColumn("dim", F.lit(0)), count).select("node", F.col("key").alias("rid"), "before", "own")
+        cut_rid = F.when(F.col("goal") - F.col("before") > F.col("own") / 2, F.col("rid") + 1).otherwise(F.col("rid"))
+        torn = torn.join(rids, "node").select("node", F.lit(True).alias("over"), "dim", F.col("key").alias("cut"), cut_rid.alias("cut_rid"))
+        plan = written(plan.where("NOT over").unionByName(torn), "plan")
+    key = F.element_at(F.array(*keys), F.coalesce("dim", F.lit(0)) + 1)
+    right = F.coalesce((key > F.col("cut")) | ((key == F.col("cut")) & (F.col("rid") >= F.col("cut_rid"))), F.lit(False))
+    left = F.floor((F.col("leaves") + 1) / 2).cast("int")
+    out = level.join(plan, "node", "left")
+    node, below = F.when(right, F.col("node") + left).otherwise(F.col("node")), F.when(right, F.col("leaves") - left).otherwise(left)
+    return written(out.select("rid", "doc_id", "size", "text_crc32", *keys, node.alias("node"), below.alias("leaves")), "level")
 
 
 def _numbered(rows: DataFrame, count: int) -> DataFrame:

@@ -341,6 +341,52 @@ def test_shards(docs, none, spark):
     assert sharding.kd_shards(spark.range(10).selectExpr("id AS doc_id", "'x' AS text"), target_bytes=5).select("shard").distinct().count() == 4
 
 
+def kd_tree(rows, keys, shards, slack, name=0):
+    """The same tree over sorted lists: rid -> leaf."""
+    if shards == 1 or not rows:
+        return {r["rid"]: name for r in rows}
+    left = (shards + 1) // 2
+    goal = sum(r["size"] for r in rows) * left / shards
+    width = {d: max(r[d] >> sharding.HASH_BITS for r in rows) - min(r[d] >> sharding.HASH_BITS for r in rows) for d in keys}
+    order, best, torn = sorted(keys, key=lambda d: (-width[d], d)), None, None
+    for rank, d in enumerate(order):
+        sums = Counter()
+        for r in rows:
+            sums[r[d]] += r["size"]
+        before = 0
+        for key in sorted(sums):
+            if before + sums[key] >= goal or key == max(sums):
+                break
+            before += sums[key]
+        torn = torn or (d, key, before)
+        miss, cut = min((abs(before - goal), key), (abs(before + sums[key] - goal), key + 1))
+        choice = (miss > slack, miss if miss > slack else 0, rank, d, cut)
+        best = min(best or choice, choice)
+    over, _, _, d, cut = best
+    rid = -1
+    if over:
+        d, cut, before = torn
+        for r in sorted((r for r in rows if r[d] == cut), key=lambda r: r["rid"]):
+            if before + r["size"] >= goal:
+                rid = r["rid"] + (goal - before > r["size"] / 2)
+                break
+            before += r["size"]
+    right = [r for r in rows if r[d] > cut or (r[d] == cut and r["rid"] >= rid)]
+    there = {r["rid"] for r in right}
+    return kd_tree([r for r in rows if r["rid"] not in there], keys, left, slack, name) | kd_tree(right, keys, shards - left, slack, name + left)
+
+
+@pytest.mark.parametrize("shards", [5, 8])
+def test_shards_are_the_tree(docs, spark, shards):
+    same = spark.range(300).selectExpr("id AS doc_id", "IF(id < 120, 'one text for many', concat('t', repeat(sha(CAST(id AS STRING)), CAST(1 + id % 5 AS INT)))) AS text", "1 AS node", "2 AS shard")
+    for d in (docs, same):
+        light, keys = sharding.keyed(d)
+        light = light.cache()
+        rows = [r.asDict() for r in light.collect()]
+        slack = 0.01 * sum(r["size"] for r in rows) / shards
+        assert {r["rid"]: r["node"] for r in sharding.leaves(light, keys, shards, slack).collect()} == kd_tree(rows, keys, shards, slack)
+
+
 # --- Jaccard join
 
 
