@@ -1,15 +1,19 @@
 """N-gram Jaccard join with several global token orders.
 
-A document's tokens are hashes of its distinct 5-word shingles. The first order puts tokens of one document first:
-a document whose prefix under it holds nothing else has no candidate, which one counting pass over all tokens
-settles for most. Of the rest, two documents are candidates if their prefixes share a token under every one of
-several orders (frequent tokens last, the others by different hashes); candidates are verified on the whole sets.
-
-Equal sets count once, and a prefix token's documents are not paired with each other. All of them meet its hub,
-the document with most common tokens. If a hub's documents then still lie in several components, those near the
-hub are compared in tiles of bounded size, which return a spanning forest of the links, not the pairs; those far from
-it stay with the token and meet another hub. (Jaccard distance is a metric: no document far from a hub is similar to
-one close to it.) So every link between different sets is verified, or joins what other links join already.
+A document's tokens are hashes of its distinct 5-word shingles. Two similar sets share a token in their prefixes under
+every global order, and as many as their prefixes are longer than they must be.
+
+First a document filter: under the order of the hashes themselves, a set whose lengthened prefix shares too few tokens
+with other sets has no candidate, which settles most. Frequencies of tokens are counted over the sets that are left, and
+further orders put frequent tokens last, ties by different hashes; a set must share prefix tokens under each of them.
+
+Then pairs: of tokens that few sets share, all pairs are candidates under the first order; they are intersected with
+the other orders' filters, and what passes all is verified on the whole sets. A frequent token's sets are not paired
+with each other. All of them meet its hub, the set that shares most tokens. If they then still lie in several
+components, those near the hub are compared in tiles of bounded size, where again pairs must pass every order's filter
+before they are verified, and which return a spanning forest of the links, not the pairs; those far from it stay,
+under the token and one of the next order. (Jaccard distance is a metric: no set far from a hub is similar to one
+close to it.) So every link between different sets is verified, or joins what other links join already.
 """
 
 from __future__ import annotations
@@ -18,20 +22,21 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowloom.llm.common import bitmap, let_through, parts, table, written
+from rowloom.llm.common import bitmap, flagged, fresh_names, let_through, table, written
 from rowloom.llm.components import components
 
-#: Words of a shingle; least similarity in hundredths; token orders after the first; bytes of text behind a counting bucket.
-WORDS, PERCENT, ORDERS, BUCKET_BYTES = 5, 80, 2, 16 << 20
+#: Words of a shingle; least similarity in hundredths; token orders behind the document filter; hundredths of a set's
+#: tokens by which the filter lengthens its prefix; sets of a token that are paired directly.
+WORDS, PERCENT, ORDERS, MORE, SMALL = 5, 80, 3, 10, 8
 #: A set closer to a hub than NEAR may be similar to one closer than FAR; what is further than FAR meets another hub.
-#: Similar sets of distance d(x, y) <= 0.2 keep d(x, hub) <= d(y, hub) + 0.2, so 0.5 and 0.3 leave no gap. Sets of half a tile.
-FAR, NEAR, TILE_SETS = 50, 30, 1024
+#: Similar sets of distance d(x, y) <= 0.2 keep d(x, hub) <= d(y, hub) + 0.2, so 0.5 and 0.3 leave no gap. Sets of half a
+#: tile, and bytes of their tokens.
+FAR, NEAR, TILE_SETS, TILE_BYTES = 50, 30, 1024, 16 << 20
 #: Tokens that the orders put last, at most.
 FREQUENT = 1 << 18
 _UPPER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -77,76 +82,48 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def _sets_and_counts(docs: DataFrame, words: int) -> DataFrame:
-    """kind 1: a row per document (id, th, n, sid). kind 0: sid and a number of its tokens that other sets have too
-    (a few more, where hashes meet); summed over buckets that makes a set's common tokens."""
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(16, parts(size, BUCKET_BYTES))
+def _sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """A row per document: id, th, n, sid, and its tokens in order: head (the lengthened prefix), rest (bytes)."""
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Hashes()
         for batch in (b.slice(k, 1000) for b in batches for k in range(0, len(b), 1000)):
             sets = [shingle_hashes(t, known, words) for t in batch["text"].to_pylist()]
             n = np.array([len(s) for s in sets], dtype=np.int64)
-            sids = np.array([_set_id(s) if len(s) else 0 for s in sets], dtype=np.int64)
-            every = np.concatenate([*sets, np.zeros(0, np.uint64)])
-            to = ((every >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
-            order = np.argsort(to, kind="stable")
-            low = (every & np.uint64(0xFFFFFFFF)).astype("<u4")[order]
-            ends = np.searchsorted(to[order], np.arange(buckets + 1))
-            per = np.bincount(np.repeat(np.arange(len(sets)), n) * buckets + to, minlength=len(sets) * buckets).reshape(len(sets), buckets).astype("<u4")
-            rows = []
-            for b in range(buckets):
-                if ends[b] < ends[b + 1]:
-                    has = np.nonzero(per[:, b])[0]
-                    rows.append((b, low[ends[b] : ends[b + 1]].tobytes(), sids[has].tobytes(), per[has, b].tobytes()))
-            m = len(rows)
-            own = pa.array(np.arange(len(sets)) % buckets, pa.int32())
-            none = pa.nulls(len(sets), pa.binary())
-            yield pa.RecordBatch.from_arrays([own, none, none, none, batch["id"], batch["th"], pa.array(n), pa.array(sids)], names=names)
-            if m:
-                lone = [pa.nulls(m, t) for t in (batch["id"].type, pa.int64(), pa.int64(), pa.int64())]
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[k] for r in rows], pa.binary()) for k in (1, 2, 3)), *lone], names=names)
-
-    names = ["bucket", "low", "sids", "per", "id", "th", "n", "sid"]
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-
-    def count(t: pa.Table) -> pa.Table:
-        blobs = t.filter(pa.compute.is_valid(t["low"]))
-        rows = t.filter(pa.compute.is_null(t["low"]))
-        plain = rows.select(["id", "th", "n", "sid"]).append_column("kind", pa.array(np.ones(len(rows), dtype=np.int32)))
-        if not len(blobs):
-            return plain
-        low = np.concatenate([np.frombuffer(x, "<u4") for x in blobs["low"].to_pylist()])
-        sid = np.concatenate([np.frombuffer(x, "<i8") for x in blobs["sids"].to_pylist()])
-        per = np.concatenate([np.frombuffer(x, "<u4") for x in blobs["per"].to_pylist()])
-        kinds, code = np.unique(sid, return_inverse=True)
-        pairs = np.unique((low.astype(np.uint64) << np.uint64(32)) | np.repeat(code, per).astype(np.uint64))
-        token = (pairs >> np.uint64(32)).astype(np.uint32)
-        same = token[1:] == token[:-1]
-        shared = np.concatenate([same, [False]]) | np.concatenate([[False], same])
-        n = np.bincount((pairs[shared] & np.uint64(0xFFFFFFFF)).astype(np.int64), minlength=len(kinds))
-        has = np.nonzero(n)[0]
-        return pa.concat_tables([plain, pa.table({"id": pa.nulls(len(has), plain["id"].type), "th": pa.nulls(len(has), pa.int64()), "n": n[has], "sid": kinds[has], "kind": np.zeros(len(has), dtype=np.int32)})])
+            lead = [prefix_length(len(s), percent) + len(s) * MORE // 100 if len(s) else 0 for s in sets]
+            heads = np.concatenate([*(s[:k] for s, k in zip(sets, lead, strict=True)), np.zeros(0, np.uint64)]).astype(np.int64)
+            head = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lead)]), pa.int32()), pa.array(heads))
+            rest = pa.array([s[k:].astype("<u8").tobytes() for s, k in zip(sets, lead, strict=True)], pa.binary())
+            sids = pa.array([_set_id(s) if len(s) else 0 for s in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch["id"], batch["th"], pa.array(n), sids, head, rest], names=["id", "th", "n", "sid", "head", "rest"])
 
     d = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("th"), "text")
-    dealt = d.mapInArrow(deal, f"bucket int, low binary, sids binary, per binary, id {id_type}, th long, n long, sid long")
-    return dealt.groupBy("bucket").applyInArrow(count, f"id {id_type}, th long, n long, sid long, kind int")
+    return d.mapInArrow(read, f"id {docs.schema['doc_id'].dataType.simpleString()}, th long, n long, sid long, head array<long>, rest binary")
 
 
-def _token_table(docs: DataFrame, reps: DataFrame, words: int) -> DataFrame:
-    """sid, n, tokens of the sets in reps (sid, n, id, th: a document that has the set)."""
-    mark = bitmap(reps.select(F.xxhash64("id", "th")))
-    d = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("th"), "text")
-    d = let_through(d, mark, F.xxhash64("id", "th")).select("text")
+def _survivors(sets: DataFrame, of_set: DataFrame, percent: int) -> DataFrame:
+    """sid, n, id, th (a document that has the set) and lone (share of the prefix that no other set has) of the sets whose
+    prefix shares enough. The prefix has 1 + n * MORE / 100 tokens more than all but the least overlap, so of each two
+    similar sets' prefixes as many are shared as the smaller set's has more."""
+    rows = sets.select("sid", F.explode("head").alias("tok"))
+    common = rows.groupBy("tok").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo < hi").select("tok")
+    common = written(common, "common")
+    hits = let_through(rows, bitmap(common), F.col("tok")).join(common, "tok").groupBy("sid").agg(F.count("*").alias("hits"))
+    least = 1 + F.floor(F.ceil(percent * F.col("n") / 100) * MORE / 100)
+    shared = F.col("hits") / F.col("copies")  # every copy of a set has the same prefix
+    return of_set.join(hits, "sid").where(shared >= least).select("sid", "n", "rep.id", "rep.th", (1 - shared / F.col("n")).alias("lone"))
 
-    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Hashes()
-        for batch in batches:
-            sets = [shingle_hashes(t, known, words) for t in batch["text"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([_set_id(s) for s in sets], pa.int64()), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], names=["sid", "tokens"])
 
-    return d.mapInArrow(tokens, "sid long, tokens binary").join(reps.select("sid", "n"), "sid").dropDuplicates(["sid"])
+def _token_table(sets: DataFrame, reps: DataFrame) -> DataFrame:
+    """sid, n, tokens (bytes) of the sets in reps."""
+    there = let_through(sets, bitmap(reps.select(F.xxhash64("id", "th"))), F.xxhash64("id", "th")).select("sid", "head", "rest")
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            tokens = [np.asarray(h.values).astype("<i8").tobytes() + r.as_py() for h, r in zip(b["head"], b["rest"], strict=True)]
+            yield pa.RecordBatch.from_arrays([b["sid"], pa.array(tokens, pa.binary())], names=["sid", "tokens"])
+
+    return there.mapInArrow(joined, "sid long, tokens binary").join(reps.select("sid", "n"), "sid").dropDuplicates(["sid"])
 
 
 def _frequent(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -207,9 +184,14 @@ def _prefixes(sets: DataFrame, percent: int, orders: list[int], frequent) -> Dat
     return sets.mapInArrow(gathered, "o int, tok long, sid long, n long")
 
 
-def _compared(pairs: DataFrame, sets: DataFrame, percent: int, frequent) -> DataFrame:
-    """a, b, their sizes and the number of tokens they share. Of a pair with quick set, that is 0 if the prefixes do not
-    meet under every order: then only whether the two are similar is asked."""
+def _prefix(tokens: np.ndarray, which: int, percent: int, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    return np.sort(_order(tokens, which, frequent))[: prefix_length(len(tokens), percent)]
+
+
+def _compared(pairs: DataFrame, sets: DataFrame, percent: int, frequent, counts: dict) -> DataFrame:  # noqa: ANN001
+    """a, b, their sizes and the number of tokens they share. Of a pair with quick set, which has met under the first
+    order, that is 0 unless the prefixes meet under every other order too: then only whether the two are similar is
+    asked."""
     a = sets.select(F.col("sid").alias("a"), F.col("tokens").alias("x"))
     b = sets.select(F.col("sid").alias("b"), F.col("tokens").alias("y"))
 
@@ -218,9 +200,14 @@ def _compared(pairs: DataFrame, sets: DataFrame, percent: int, frequent) -> Data
             out = []
             for x, y, quick in zip(batch["x"], batch["y"], batch["quick"].to_pylist(), strict=True):
                 s, t = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
-                p, q = prefix_length(len(s), percent), prefix_length(len(t), percent)
-                meet = not quick or all(len(np.intersect1d(np.sort(_order(s, o, frequent.value))[:p], np.sort(_order(t, o, frequent.value))[:q], assume_unique=True)) for o in range(1, ORDERS))
+                order = 1
+                while quick and order < ORDERS and len(np.intersect1d(_prefix(s, order, percent, frequent.value), _prefix(t, order, percent, frequent.value), assume_unique=True)):
+                    order += 1
+                for o in range(order if quick else 0):
+                    counts[o + 1].add(1)
+                meet = not quick or order == ORDERS
                 out.append((len(s), len(t), len(np.intersect1d(s, t, assume_unique=True)) if meet else 0))
+                counts["hub"].add(int(not quick))
             na, nb, both = (pa.array([o[k] for o in out], pa.int64()) for k in range(3))
             yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], na, nb, both], names=["a", "b", "na", "nb", "shared"])
 
@@ -256,12 +243,28 @@ def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _forest(sids: np.ndarray, roots: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links that join sets of different roots, one for each set and turn of joining, out of all links of a tile."""
-    n = np.array([len(s) for s in sets], dtype=np.float64)
-    both = _overlaps(sets)
-    linked = 100 * both >= percent * (n[:, None] + n[None, :] - both)
+NONE = (np.zeros(0, np.uint64), np.zeros(0, np.uint64))
+
+
+def _forest(sids: np.ndarray, roots: np.ndarray, sets: list[np.ndarray], percent: int, frequent: tuple[np.ndarray, np.ndarray] = NONE, seen: list[int] | None = None) -> list[tuple[int, int]]:
+    """Links that join sets of different roots, one for each set and turn of joining, out of all links of a tile. Pairs
+    whose prefixes do not meet under every order are not verified. seen: gets the pairs left after each order."""
     label, out = np.unique(roots, return_inverse=True)[1], []
+    linked = label[:, None] > label[None, :]
+    for o in range(ORDERS):
+        linked &= _overlaps([_prefix(s, o, percent, frequent) for s in sets]) > 0
+        if seen is not None:
+            seen.append(int(linked.sum()))
+        if not linked.any():
+            return out
+    n = np.array([len(s) for s in sets], dtype=np.float64)
+    rows, to = np.nonzero(linked)
+    if len(rows) < 4 * len(sets):
+        both = np.array([len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for i, j in zip(rows, to, strict=True)])
+    else:
+        both = _overlaps(sets)[rows, to]
+    linked[rows, to] = 100 * both >= percent * (n[rows] + n[to] - both)
+    linked |= linked.T
     while True:
         apart = linked & (label[:, None] > label[None, :])
         rows = np.nonzero(apart.any(axis=1))[0]
@@ -276,18 +279,32 @@ def _forest(sids: np.ndarray, roots: np.ndarray, sets: list[np.ndarray], percent
         label = up[label]
 
 
-def _tiles(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """near: hub, sid, root. Links between sets of one hub in different components, hub by hub and tile by tile."""
-    sizes = near.groupBy("hub").agg(F.count("*").alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
-    d = near.join(sizes.select("hub", F.ceil(F.col("size") / TILE_SETS).cast("int").alias("chunks")), "hub")
-    d = d.withColumn("c", F.pmod(F.xxhash64("sid"), F.col("chunks")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    d = d.select("hub", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "sid", "root").join(sets.select("sid", "tokens"), "sid")
-
-    def tile(t: pa.Table) -> pa.Table:
-        pairs = _forest(t["sid"].to_numpy(), t["root"].to_numpy(), [np.frombuffer(x, "<u8") for x in t["tokens"].to_pylist()], percent)
+def _tiles(near: DataFrame, sets: DataFrame, percent: int, frequent, counts: dict) -> DataFrame:  # noqa: ANN001
+    """near: hub, sid, root. Links between sets of one hub in different components, hub by hub and tile by tile. Chunks of
+    the hub's largest component meet those of the others, not each other."""
+    near = near.join(sets.select("sid", F.octet_length("tokens").cast("long").alias("size")), "sid")
+    by_root = near.groupBy("hub", "root").agg(F.count("*").alias("c"), F.sum("size").alias("size"))
+    chunks = lambda major: F.greatest(*(F.ceil(F.sum(F.when(major, F.col(c)).otherwise(0)) / most) for c, most in (("c", TILE_SETS), ("size", TILE_BYTES)))).cast("int")
+    main = by_root.groupBy("hub").agg(F.max(F.struct("c", "root")).alias("m"), F.count("*").alias("roots")).where("roots > 1").select("hub", F.col("m.root").alias("main"))
+    sizes = by_root.join(main, "hub").groupBy("hub", "main").agg(chunks(F.col("root") == F.col("main")).alias("majors"), chunks(F.col("root") != F.col("main")).alias("minors"))
+    d = near.join(sizes, "hub").withColumn("major", F.col("root") == F.col("main"))
+    d = d.withColumn("c", F.pmod(F.xxhash64("sid"), F.when(F.col("major"), F.col("majors")).otherwise(F.col("minors"))).cast("int"))
+    to = lambda n, f: F.transform(F.sequence(F.lit(0), F.col(n) - 1), f)
+    tile = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"))
+    with_main = to("majors", lambda o: tile(0, o, F.col("c")))
+    others = to("minors", lambda o: tile(1, F.least("c", o), F.greatest("c", o)))
+    d = d.withColumn("t", F.explode(F.when(F.col("major"), to("minors", lambda o: tile(0, F.col("c"), o))).otherwise(F.concat(with_main, others))))
+    d = d.select("hub", "t.kind", "t.i", "t.j", "sid", "root").join(sets.select("sid", "tokens"), "sid")
+
+    def compare(t: pa.Table) -> pa.Table:
+        seen: list[int] = []
+        pairs = _forest(t["sid"].to_numpy(), t["root"].to_numpy(), [np.frombuffer(x, "<u8") for x in t["tokens"].to_pylist()], percent, frequent.value, seen)
+        counts["tile"].add(len(t) * (len(t) - 1) // 2)
+        for k, c in enumerate(seen):
+            counts[k + 1].add(c)
         return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
 
-    return d.select("hub", "i", "j", "sid", "root", "tokens").groupBy("hub", "i", "j").applyInArrow(tile, "a long, b long")
+    return d.select("hub", "kind", "i", "j", "sid", "root", "tokens").groupBy("hub", "kind", "i", "j").applyInArrow(compare, "a long, b long")
 
 
 def _apart(df: DataFrame, roots: DataFrame, *cols: str) -> DataFrame:
@@ -297,13 +314,16 @@ def _apart(df: DataFrame, roots: DataFrame, *cols: str) -> DataFrame:
     return df
 
 
-def _linked(sets: DataFrame, reps: DataFrame, percent: int) -> DataFrame | None:
+def _linked(sets: DataFrame, reps: DataFrame, percent: int, counts: dict) -> DataFrame | None:
     """Roots of the sets that links join; None if there are no links."""
-    frequent = sets.sparkSession.sparkContext.broadcast(_frequent(sets))
-    rows = written(_prefixes(sets, percent, [0], frequent).select("tok", "sid"), "prefixes")
-    common = rows.groupBy("tok").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo < hi")
-    active = rows.join(common.select("tok"), "tok").join(reps.select("sid", "lone"), "sid").select("tok", "sid", "lone")
-    links, roots, size = None, None, rows.count()
+    frequent = sets.sparkSession.sparkContext.broadcast(_frequent(sets))  # FREQUENT rows at most
+    rows = written(_prefixes(sets, percent, list(range(ORDERS)), frequent).select("o", "tok", "sid"), "prefixes")
+    common = rows.groupBy("o", "tok").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo < hi").select("o", "tok")
+    rows = written(rows.join(common, ["o", "tok"]), "shared")
+    every = rows.groupBy("sid").agg(F.bit_or(F.expr("shiftleft(1, o)")).alias("met")).where(f"met = {(1 << ORDERS) - 1}").select("sid")
+    rows = rows.join(every, "sid")
+    active = rows.where("o = 0").join(reps.select("sid", "lone"), "sid").select("tok", "sid", "lone")
+    links, roots, turn = None, None, 0
 
     def add(new: DataFrame) -> None:
         nonlocal links, roots
@@ -315,70 +335,89 @@ def _linked(sets: DataFrame, reps: DataFrame, percent: int) -> DataFrame | None:
     def rooted(df: DataFrame, *cols: str) -> DataFrame:
         return _apart(df, roots, *cols) if roots is not None else df.withColumns({f"r{c}": F.col(c) for c in cols})
 
+    def paired(d: DataFrame) -> DataFrame:
+        """Pairs of the sets of each token of d (tok, sid) in different components."""
+        x, y = (rooted(d.select("tok", "sid"), "sid").select("tok", F.col("sid").alias(c), F.col("rsid").alias(f"r{c}")) for c in "ab")
+        return x.join(y, "tok").where("a < b AND ra <> rb").select("a", "b", F.lit(True).alias("quick")).distinct()
+
+    compared = lambda pairs: _compared(pairs, sets, percent, frequent, counts)
     while True:
         active = written(active, "active")
-        hubs = active.groupBy("tok").agg(F.min(F.struct("lone", "sid")).alias("h")).select("tok", F.col("h.sid").alias("hub"))
+        sizes = written(active.groupBy("tok").agg(F.count("*").alias("c"), F.min(F.struct("lone", "sid")).alias("h")), "sizes")
+        hubs, size = sizes.where(F.col("c") > SMALL).select("tok", F.col("h.sid").alias("hub")), active.count()
         met = active.join(hubs, "tok").where("sid <> hub")
         met = met.select(F.col("sid").alias("a"), F.col("hub").alias("b"), F.lit(False).alias("quick")).distinct()
-        met = written(_compared(met, sets, percent, frequent), "met")
+        met = written(compared(met), "met")
         add(met.where(_reach(percent)))
         near = met.where(_reach(NEAR)).select(F.col("b").alias("hub"), F.col("a").alias("sid"))
         near = near.unionByName(near.select("hub", F.col("hub").alias("sid")).distinct())
-        add(_tiles(rooted(near, "sid").withColumnRenamed("rsid", "root"), sets, percent))
+        add(_tiles(rooted(near, "sid").withColumnRenamed("rsid", "root"), sets, percent, frequent, counts))
+        add(compared(paired(active.join(sizes.where(f"c <= {SMALL}").select("tok"), "tok"))).where(_reach(percent)))
         far = met.where(f"NOT ({_reach(FAR)})").select(F.col("a").alias("sid"), F.col("b").alias("hub"))
         rest = rooted(active.join(hubs, "tok").join(far, ["sid", "hub"]).select("tok", "sid", "lone"), "sid")
         still = rest.groupBy("tok").agg(F.min("rsid").alias("lo"), F.max("rsid").alias("hi")).where("lo < hi").select("tok")
         rest = written(rest.join(still, "tok").select("tok", "sid", "lone", "rsid"), "rest")
         by_root = rest.groupBy("tok", "rsid").agg(F.count("*").alias("c"))
         left = by_root.groupBy("tok").agg(((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("p")).agg(F.sum("p")).first()[0] or 0
-        if left <= size:
-            break
-        active = rest.drop("rsid")
-    if left:  # fewer pairs than prefix tokens: sets of one token, far from its hubs, in different components
-        x, y = (rest.select("tok", F.col("sid").alias(c), F.col("rsid").alias(f"r{c}")) for c in "ab")
-        pairs = x.join(y, "tok").where("a < b AND ra <> rb").select("a", "b", F.lit(True).alias("quick")).distinct()
-        add(_compared(pairs, sets, percent, frequent).where(_reach(percent)))
-    return roots
-
-
-def near_groups(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
+        if left <= size:  # no more pairs than there were prefix tokens
+            if left:
+                add(compared(paired(rest)).where(_reach(percent)))
+            return roots
+        turn += 1
+        active = rest.select("tok", "sid", "lone")
+        if turn < ORDERS:
+            following = rows.where(F.col("o") == turn).select("sid", F.col("tok").alias("more"))
+            active = active.join(following, "sid").select(F.xxhash64("tok", "more").alias("tok"), "sid", "lone")
+
+
+def _grouped(docs: DataFrame, percent: int, words: int, counts: dict | None = None) -> DataFrame:
+    """id, th, n of every row of docs, and root: the least set id that links reach, null for an empty set."""
+    tally = {k: docs.sparkSession.sparkContext.accumulator(0) for k in (*range(1, ORDERS + 1), "hub", "tile")}
+    every = written(_sets(docs, words, percent), "sets")
+    light = every.select("id", "th", "n", "sid")
+    of_set = light.where("n > 0").groupBy("sid").agg(F.first("n").alias("n"), F.min(F.struct("id", "th")).alias("rep"), F.count("*").alias("copies"))
+    reps = written(_survivors(every, of_set, percent), "reps")
+    sets = written(_token_table(every, reps), "tokens")
+    roots = _linked(sets, reps, percent, tally)
+    if counts is not None:
+        counts |= {"sets": reps.count(), "hub pairs": tally["hub"].value, "pairs in tiles": tally["tile"].value} | {f"candidates after {o} orders": tally[o].value for o in range(1, ORDERS + 1)}
+    sid = F.when(F.col("n") > 0, F.col("sid"))
+    if roots is None:
+        return light.select("id", "th", "n", sid.alias("root"))
+    return light.join(roots.withColumnRenamed("node", "sid"), "sid", "left").select("id", "th", "n", F.when(F.col("n") > 0, F.coalesce("root", "sid")).alias("root"))
+
+
+def near_groups(docs: DataFrame, percent: int = PERCENT, words: int = WORDS, counts: dict | None = None) -> DataFrame:
     """doc_id, text_hash, n_shingles, component_id (smallest doc_id that links reach, itself included).
 
     A null or wordless text has no shingles and is linked with nothing. Nulls among doc_ids count last: a group
-    of nothing else has a null id. Repeated rows are copies like others. Empty table: no rows. Tokens are 64-bit hashes.
+    of nothing else has a null id. Repeated rows are copies like others; docs' other columns are left out; texts count
+    whole, however long. Empty table: no rows. Tokens are 64-bit hashes. counts: gets the sets that pass the document
+    filter, the pairs met by hubs and tiles, and the candidates left after each order.
     """
-    both = written(_sets_and_counts(docs, words), "sets")
-    light = both.where("kind = 1")
-    of_set = light.where("n > 0").groupBy("sid").agg(F.first("n").alias("n"), F.min("id").alias("least"), F.min(F.struct("id", "th")).alias("rep"))
-    common = both.where("kind = 0").groupBy("sid").agg(F.sum("n").alias("common"))
-    reps = of_set.join(common, "sid").where(100 * F.col("common") >= percent * F.col("n")).select("sid", "n", "rep.id", "rep.th", (1 - F.col("common") / F.col("n")).alias("lone"))
-    reps = written(reps, "reps")
-    sets = written(_token_table(docs, reps, words), "tokens")
-    roots = _linked(sets, reps, percent)
-    named = of_set.select("sid", "least")
-    if roots is not None:
-        named = named.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-        named = written(named, "named")
-        least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-        named = named.join(least, "root").select("sid", "component_id")
-    else:
-        named = named.withColumnRenamed("least", "component_id")
-    out = light.join(named, (light["sid"] == named["sid"]) & (light["n"] > 0), "left")
+    g = written(_grouped(docs, percent, words, counts), "groups")
+    least = g.where("root IS NOT NULL").groupBy("root").agg(F.min("id").alias("component_id"))
+    out = g.join(least, "root", "left")
     return out.select(F.col("id").alias("doc_id"), F.col("th").alias("text_hash"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
-    """docs, all columns: of each group the row with the smallest doc_id stays, one only if rows repeat; rows
-    linked with nothing stay. Of a group without any doc_id all rows stay, and so do different texts of a group that
-    share its smallest doc_id."""
-    g = near_groups(docs, percent, words)
-    stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    g = g.where(stays).groupBy(F.col("doc_id").alias("rowloom_id"), F.col("text_hash").alias("rowloom_th")).agg(F.max("n_shingles").alias("rowloom_n"))
-    d = docs.withColumn("rowloom_t", F.xxhash64("text"))
-    d = d.join(g, F.col("doc_id").eqNullSafe(F.col("rowloom_id")) & (F.col("rowloom_t") == F.col("rowloom_th")))
-    place = F.row_number().over(Window.partitionBy("rowloom_id", "rowloom_th").orderBy(F.lit(1)))
-    d = d.withColumn("rowloom_place", place).where("rowloom_place = 1 OR rowloom_n = 0 OR doc_id IS NULL")
-    return d.select(*(F.col(f"`{c}`") for c in docs.columns))
+    """docs, all columns: of each group one row stays, the one with the smallest doc_id (null last), of equal ones by text
+    hash, any one of rows that repeat. Rows linked with nothing stay, texts without words too. Rows that nothing else
+    in their group could replace are not moved between tasks. Empty table: no rows."""
+    g = written(_grouped(docs, percent, words).where("root IS NOT NULL"), "groups")
+    place = F.struct(F.col("id").isNull().alias("z"), "id", "th")
+    rows = g.groupBy("root", "id", "th").agg(F.count("*").alias("c"))
+    first = g.groupBy("root").agg(F.min(place).alias("first"))
+    lost = rows.join(first, "root").withColumn("lost", place != F.col("first")).where("lost OR c > 1").groupBy("id", "th").agg(F.max("lost").alias("lost"))
+    lost = written(lost, "lost")
+    th, flag, id_, t, gone = fresh_names(docs, "th", "flag", "id", "t", "gone")
+    d = flagged(docs.withColumn(th, F.xxhash64("text")), bitmap(lost.select(F.xxhash64("id", "th"))), F.xxhash64("doc_id", th), flag)
+    x = lost.select(F.col("id").alias(id_), F.col("th").alias(t), F.col("lost").alias(gone))
+    seen = d.where(flag).join(x, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(th) == F.col(t)), "left")
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    alone, repeated = seen.where(F.col(gone).isNull()), seen.where(f"NOT {gone}").dropDuplicates([id_, t])
+    return d.where(f"NOT {flag}").select(*names).unionByName(alone.select(*names)).unionByName(repeated.select(*names))
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -415,6 +415,39 @@ def test_jaccard(docs, none):
     assert len([i for i in ids if i == 3]) <= 1 and {i for i, _, c in want if i == c} == set(ids)
 
 
+def test_one_of_each_without_ids(spark):
+    text = " ".join(f"w{k}" for k in range(60))
+    rows = [(None, text, 1), (None, text, 2), (None, text + " x", 3), (7, text + " y", 4), (7, text + " z", 5), (8, "", 6), (8, "", 6), (None, None, 7), (None, "other words alone here now", 8)]
+    d = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, rowloom_id long, rowloom_flag long")
+    got = jaccard.one_of_each(d)
+    assert got.columns == d.columns and sorted(r["rowloom_id"] for r in got.collect()) in ([4, 6, 6, 7, 8], [5, 6, 6, 7, 8])
+    d = d.where("doc_id IS NULL AND text IS NOT NULL")
+    assert sorted(r["rowloom_id"] for r in jaccard.one_of_each(d).collect())[1:] == [8]
+
+
+@pytest.mark.parametrize("small, tile", [(2, 1024), (8, 5), (10**6, 1024)])
+def test_jaccard_of_clouds(spark, monkeypatch, small, tile):
+    """Many sets around one text, some similar to each other and some not, sets far from any hub, and shared passages:
+    by hubs and tiles, and by pairs of all."""
+    monkeypatch.setattr(jaccard, "SMALL", small)
+    monkeypatch.setattr(jaccard, "TILE_SETS", tile)
+    r = random.Random(small + tile)
+    base, other = [f"b{k}" for k in range(60)], [[f"p{j}x{k}" for k in range(12)] for j in range(8)]
+    texts = [" ".join(w if r.random() > share else f"n{r.randrange(9)}" for w in base) for share in (0.0, 0.01, 0.03, 0.06) for _ in range(30)]
+    texts += [" ".join(sum(r.sample(other, 4), [])) for _ in range(60)] + [" ".join(base[:40] + [f"u{k}x{j}" for j in range(12)]) for k in range(40)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in map(str.split, texts)]
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    group_of = list(range(len(sets)))
+    for i, j in links:
+        old, new = max(group_of[i], group_of[j]), min(group_of[i], group_of[j])
+        group_of = [new if g == old else g for g in group_of]
+    counts: dict = {}
+    assert {x["doc_id"]: x["component_id"] for x in jaccard.near_groups(d, counts=counts).collect()} == dict(enumerate(group_of))
+    after = [counts[f"candidates after {o} orders"] for o in (1, 2, 3)]
+    assert after == sorted(after, reverse=True) and len(links) > 100 and (small < 10**6 or counts["hub pairs"] == 0)
+
+
 def test_forest_joins_what_links_join():
     r = random.Random(5)
     sets = [np.array(sorted(r.sample(range(30), 20)), dtype=np.uint64) for _ in range(40)] + [np.arange(k, k + 60, dtype=np.uint64) + np.uint64(1000) for k in range(40)]
