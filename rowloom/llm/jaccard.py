@@ -348,11 +348,11 @@ def _linked(sets: DataFrame, reps: DataFrame, percent: int, counts: dict) -> Dat
         met = active.join(hubs, "tok").where("sid <> hub")
         met = met.select(F.col("sid").alias("a"), F.col("hub").alias("b"), F.lit(False).alias("quick")).distinct()
         met = written(compared(met), "met")
-        add(met.where(_reach(percent)))
+        few = compared(paired(active.join(sizes.where(f"c <= {SMALL}").select("tok"), "tok")))
+        add(met.unionByName(few).where(_reach(percent)))
         near = met.where(_reach(NEAR)).select(F.col("b").alias("hub"), F.col("a").alias("sid"))
         near = near.unionByName(near.select("hub", F.col("hub").alias("sid")).distinct())
         add(_tiles(rooted(near, "sid").withColumnRenamed("rsid", "root"), sets, percent, frequent, counts))
-        add(compared(paired(active.join(sizes.where(f"c <= {SMALL}").select("tok"), "tok"))).where(_reach(percent)))
         far = met.where(f"NOT ({_reach(FAR)})").select(F.col("a").alias("sid"), F.col("b").alias("hub"))
         rest = rooted(active.join(hubs, "tok").join(far, ["sid", "hub"]).select("tok", "sid", "lone"), "sid")
         still = rest.groupBy("tok").agg(F.min("rsid").alias("lo"), F.max("rsid").alias("hi")).where("lo < hi").select("tok")
