@@ -24,3 +24,11 @@ def check_cases(df: DataFrame) -> DataFrame:
             if seen.setdefault(c.lower(), c) != c:
                 raise PlanError(f"columns {seen[c.lower()]!r} and {c!r} differ by case only; set spark.sql.caseSensitive")
     return df
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that df does not have."""
+    taken, mark = {c.lower() for c in df.columns}, "_"
+    while any(f"{mark}{n}" in taken for n in names):
+        mark += "_"
+    return [f"{mark}{n}" for n in names]

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rowloom.errors import PlanError
-from rowloom.functions import COMPARE, SPARK_TYPES, check_filter, parsed, rendered, type_of
+from rowloom.functions import SPARK_TYPES, Equals, condition, parsed, plain, rendered, type_of
 from rowloom.names import check_cases, col
 
 
@@ -161,23 +161,25 @@ class FilterRows(Stage):
         self.predicate, self.spec = predicate, None
         if predicate is None:
             given = {"field": field, "op": op, "value": value, "field_a": field_a, "field_b": field_b}
-            self.spec = check_filter({k: v for k, v in given.items() if v is not None})
+            self.spec = condition({k: v for k, v in given.items() if v is not None})
 
     @classmethod
     def of(cls, spec: dict) -> FilterRows:
-        check_filter(spec)
-        return cls(**{k: spec[k] for k in ("field", "op", "value", "field_a", "field_b") if k in spec})
+        out = cls(lambda _: True)
+        out.predicate, out.spec = None, condition(spec)
+        return out
 
     def apply(self, record: dict) -> dict | None:
-        if self.spec is None:
-            return record if self.predicate(record) else None
         s = self.spec
-        if "field" in s:
-            v = record.get(s["field"])
-            same = v is not None and (str(int(v)) if isinstance(v, float) and v.is_integer() else str(v)) == str(s["value"])
-            return record if same == (s["op"] in ("==", "eq")) else None
-        a, b = record.get(s["field_a"]), record.get(s["field_b"])
-        return record if a is not None and b is not None and COMPARE[s["op"]](a, b) else None
+        if s is None:
+            keep = self.predicate(record)
+        elif isinstance(s, Equals):
+            v = record.get(s.field)
+            keep = (v is not None and plain(v) == str(s.value)) == s.wanted
+        else:
+            a, b = record.get(s.left), record.get(s.right)
+            keep = a is not None and b is not None and s(a, b)
+        return record if keep else None
 
     def to_spark(self, df: DataFrame) -> DataFrame:
         if isinstance(self.predicate, Column):
@@ -186,15 +188,12 @@ class FilterRows(Stage):
             from rowloom.streaming import filtered
 
             return filtered(df, self.predicate)
-        s = self.spec
-        if "field" in s:
-            if s["field"] in df.columns:
-                same = rendered(col(s["field"]), df.schema[s["field"]].dataType).eqNullSafe(F.lit(str(s["value"])))
-            else:
-                same = F.lit(False)
-            return df.where(same if s["op"] in ("==", "eq") else ~same)
-        kinds = [df.schema[s[k]].dataType if s[k] in df.columns else T.NullType() for k in ("field_a", "field_b")]
-        if sum(isinstance(k, T.StringType) for k in kinds) == 1 and not any(isinstance(k, T.NullType) for k in kinds):
-            raise PlanError(f"cannot compare {s['field_a']!r} with {s['field_b']!r}: only one of them is text")
-        a, b = (col(s[k]) if s[k] in df.columns else F.lit(None).cast("string") for k in ("field_a", "field_b"))
-        return df.where(COMPARE[s["op"]](a, b))
+        s, there = self.spec, set(df.columns)
+        if isinstance(s, Equals):
+            same = rendered(col(s.field), df.schema[s.field].dataType).eqNullSafe(F.lit(str(s.value))) if s.field in there else F.lit(False)
+            return df.where(same if s.wanted else ~same)
+        kinds = [df.schema[c].dataType for c in (s.left, s.right) if c in there]
+        if len(kinds) == 2 and sum(isinstance(k, T.StringType) for k in kinds) == 1:
+            raise PlanError(f"cannot compare {s.left!r} with {s.right!r}: only one of them is text")
+        a, b = (col(c) if c in there else F.lit(None).cast("string") for c in (s.left, s.right))
+        return df.where(s(a, b))

@@ -177,6 +177,18 @@ def filter_float_text(spark, sf):
     return (Pipeline(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")) | FilterRows(field="l_quantity", op="==", value="42")).df
 
 
+@query("SELECT o_orderkey, 123456789.125 + o_orderkey % 3 AS x FROM orders WHERE o_orderkey % 3 = 1")
+def filter_float_large(spark, sf):
+    x = table(spark, sf, "orders").selectExpr("o_orderkey", "123456789.125D + o_orderkey % 3 AS x")
+    return (Pipeline(x) | FilterRows(field="x", op="==", value="123456790.125")).df
+
+
+@query("SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 1e-5 WHEN 1 THEN 1e15 ELSE 0.1 END AS x FROM orders WHERE o_orderkey % 3 = 0")
+def filter_float_small(spark, sf):
+    x = table(spark, sf, "orders").selectExpr("o_orderkey", "CASE o_orderkey % 3 WHEN 0 THEN 1e-5D WHEN 1 THEN 1e15D ELSE 0.1D END AS x")
+    return (Pipeline(x) | FilterRows(field="x", op="==", value="0.00001")).df
+
+
 def _compare(op: str) -> None:
     @query(f"SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem WHERE l_partkey % 7 {'=' if op == '==' else op} l_suppkey % 7", f"filter_cmp_{ {'>': 'gt', '<': 'lt', '>=': 'ge', '<=': 'le', '==': 'eq', '!=': 'ne'}[op]}")
     def run(spark, sf):
@@ -353,6 +365,12 @@ def xml_sections(spark, sf):
     return ReportSource(_lines(table(spark, sf, "region"), row, place("sections")), spark=spark).df
 
 
+@query("SELECT CAST(r_regionkey AS VARCHAR) AS key, '<&>\"\''é' || chr(128) || '€' || r_name AS name FROM region")
+def xml_entities(spark, sf):
+    row = "concat('<Row key=\"&#', 48 + r_regionkey, ';\"><Field Name=\"name\"><Value>&lt;&amp;&gt;&quot;&apos;&#233;&#128;&#x20AC;', r_name, '</Value></Field></Row>')"
+    return ReportSource(_lines(table(spark, sf, "region"), row, place("entities")), spark=spark).df
+
+
 @query("SELECT CAST(l_orderkey AS VARCHAR) AS l_orderkey, CAST(l_linenumber AS VARCHAR) AS l_linenumber, l_returnflag FROM lineitem")
 def xml_partitions(spark, sf):
     return report(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag"), "parts", partitions=7, columns=None).df

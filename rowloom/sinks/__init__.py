@@ -17,14 +17,18 @@ def _frame(pipeline: object) -> DataFrame:
 
 
 def to_dataframe(pipeline: object, chunksize: int | None = None, dtype_backend: str = "pyarrow") -> pd.DataFrame:
+    """All rows as one frame; with chunksize they come to the driver that many at a time, so text is never held twice."""
     if not isinstance(pipeline, DataFrame) and not hasattr(pipeline, "df"):
         return pd.DataFrame.from_records(list(pipeline))
-    table = pipeline.to_arrow() if hasattr(pipeline, "to_arrow") else pipeline.toArrow()
     mapper = pd.ArrowDtype if dtype_backend == "pyarrow" else None
-    if chunksize is None:
-        return table.to_pandas(types_mapper=mapper)
-    chunks = [b.to_pandas(types_mapper=mapper) for b in table.to_batches(max_chunksize=chunksize)]
-    return pd.concat(chunks, ignore_index=True) if chunks else table.to_pandas(types_mapper=mapper)
+    if chunksize is not None:
+        from rowloom.plans import batched
+
+        chunks = [b.to_pandas(types_mapper=mapper) for b in batched(_frame(pipeline), chunksize)]
+        if chunks:
+            return pd.concat(chunks, ignore_index=True)
+    table = pipeline.to_arrow() if hasattr(pipeline, "to_arrow") else pipeline.toArrow()
+    return table.to_pandas(types_mapper=mapper)
 
 
 def collect(pipeline: object, drop_missing: bool = False) -> list[dict]:

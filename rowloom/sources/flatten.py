@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from html import unescape
 
 from rowloom.errors import XmlError
 
@@ -26,9 +25,29 @@ KEYS = {b"Field": (b"FieldName", b"Name"), b"Text": (b"Name",)}
 #: Row shapes that a reader remembers.
 SHAPES = 32
 
+ENTITY = re.compile(r"&(?:#(?:x([0-9A-Fa-f]+)|([0-9]+))|(\w+))?(;?)")
+#: The entities of XML (fixed values); there are no others without a document type.
+ENTITIES = {"lt": "<", "gt": ">", "amp": "&", "apos": "'", "quot": '"'}
+
 Row = list[tuple[str, str]]
 
 
+def unescape(text: str) -> str:
+    """Entities and numeric references replaced; XmlError for any other ampersand."""
+
+    def one(m: re.Match) -> str:
+        code = int(m[1], 16) if m[1] else int(m[2]) if m[2] else None
+        if not m[4] or (code is None and m[3] not in ENTITIES):
+            raise XmlError(f"unknown or unended entity {m[0]!r}")
+        if code is None:
+            return ENTITIES[m[3]]
+        if not 0 < code < 0x110000 or 0xD800 <= code < 0xE000:
+            raise XmlError(f"no character has the number of {m[0]!r}")
+        return chr(code)
+
+    return ENTITY.sub(one, text)
+
+
 def decoded(raw: bytes) -> str:
     try:
         text = raw.decode("utf-8")

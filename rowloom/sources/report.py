@@ -1,7 +1,8 @@
 """Spark data source for report XML: spark.read.format("report_xml").
 
 Options: rowTag (Row), columns (JSON list of names; all are found first, if absent), ranges (JSON list of
-[start, end, state]; one range, if absent). Reads in parallel by byte range; nothing but the asked columns is built.
+[start, end, state]; of RANGE bytes, if absent: their states are then found in one scan of the file by the planner).
+Reads in parallel by byte range; nothing but the asked columns is built.
 """
 
 from __future__ import annotations
@@ -17,7 +18,11 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from rowloom.sources.blocks import BlockReader
 from rowloom.sources.flatten import RowReader, Shape
-from rowloom.sources.splits import SMALL, chained, ranges, read_range, records_of, rows_of, size_of, transfer
+from rowloom.sources.splits import SMALL, chained, leads_to, ranges, read_range, records_of, rows_of, size_of, transfer
+
+
+#: Bytes of a range that the reader plans by itself.
+RANGE = 16 << 20
 
 
 class Range(InputPartition):
@@ -32,8 +37,14 @@ class ReportReader(DataSourceReader):
         self.ranges = json.loads(options["ranges"]) if "ranges" in options else None
 
     def partitions(self) -> list[Range]:
-        size = size_of(self.path)
-        return [Range(*r) for r in (self.ranges if self.ranges is not None else [[0, size, 0]] if size else [])] or [Range(0, 0, 0)]
+        if self.ranges is None:
+            size = size_of(self.path)
+            parts = ranges(self.path, size, max(1, size // RANGE)) if size else []
+            states = [0]
+            for a, z in parts[:-1]:
+                states.append(leads_to(read_range(self.path, a, z), states[-1]))
+            self.ranges = [(a, z, s) for (a, z), s in zip(parts, states, strict=False)]
+        return [Range(*r) for r in self.ranges] or [Range(0, 0, 0)]
 
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
         if partition.end <= partition.start:

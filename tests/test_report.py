@@ -47,6 +47,98 @@ def test_malformed(data):
         flatten(data)
 
 
+@pytest.mark.parametrize("text", ["&nbsp;", "&copy=1", "a &lt b", "a & b", "&#0;", "&#xD800;", "&#99999999;", "&;", "&#x;"])
+def test_unknown_entities(text):
+    for data in (f'<Row><Field Name="n"><Value>{text}</Value></Field></Row>', f'<Row a="{text}"/>'):
+        with pytest.raises(XmlError):
+            flatten(data.encode())
+
+
+def test_entities():
+    assert flatten(b'<Row a="&quot;&apos;"><Field Name="n"><Value>&#128;&#x20ac;&amp;lt;&lt;&gt;</Value></Field></Row>') == [[("a", "\"'"), ("n", "\x80€&lt;<>")]]
+
+
+def test_rendered_numbers(spark):
+    """Shortest plain decimals, in the JVM and in Python."""
+    from rowloom.functions import plain, rendered
+
+    r = random.Random(2)
+    values = [0.0, -0.0, 42.0, 0.1, 123456789.125, 1e15, 1e21, 1e-5, 5e-324, 1.7976931348623157e308, -2.5e-7, 2e23, 1e23, 2.0**-44, 9007199254740993.0, float("nan"), float("inf"), float("-inf"), 1 / 3, 100.0, 0.001, 12345678.9]
+    values += [r.uniform(-1, 1) * 10 ** r.randrange(-20, 20) for _ in range(300)] + [float(f"{r.randrange(1, 10**6)}e{r.randrange(-9, 9)}") for _ in range(300)]
+    d = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double")
+    got = [x[0] for x in d.select(rendered(d["v"], d.schema["v"].dataType)).collect()]
+    assert got == [*map(plain, values), None]
+    assert got[:9] == ["0", "-0", "42", "0.1", "123456789.125", "1" + 15 * "0", "1" + 21 * "0", "0.00001", "0." + 323 * "0" + "5"] and got[15:18] == ["NaN", "inf", "-inf"]
+    f = spark.sql("SELECT EXPLODE(ARRAY(CAST(0.1 AS FLOAT), CAST(1e10 AS FLOAT), CAST(-1.5e-5 AS FLOAT))) AS v")
+    assert [x[0] for x in f.select(rendered(f["v"], f.schema["v"].dataType)).collect()] == ["0.1", "10000000000", "-0.000015"]
+
+
+def report_file(tmp_path, rows=700):
+    path = tmp_path / "r.xml"
+    path.write_text("<Report>" + "".join(f'<Row><Field Name="a"><Value>{k}</Value></Field><Field Name="b"><Value>v{k % 3}</Value></Field><Field Name="c"><Value>{k % 7}</Value></Field></Row>' for k in range(rows)) + "</Report>")
+    return path
+
+
+def test_dictionaries_through_stages(spark, tmp_path):
+    path = report_file(tmp_path)
+    is_dict = lambda p: {f.name: pa.types.is_dictionary(f.type) for f in p.to_arrow().schema}
+    assert is_dict(ReportSource(path, auto_dict=True, spark=spark) | RenameFields({"b": "kind"}) | DropFields(["c"])) == {"a": False, "kind": True}
+    assert is_dict(ReportSource(path, dictionary_columns=["b"], spark=spark) | RenameFields({"b": "kind"})) == {"a": False, "kind": True, "c": False}
+    assert is_dict(ReportSource(path, spark=spark) | CastTypes({"c": "dictionary"})) == {"a": False, "b": False, "c": True}
+    assert is_dict(ReportSource(path, auto_dict=True, spark=spark)) == {"a": False, "b": True, "c": True}
+
+
+def test_dropped_columns_are_not_read(spark, tmp_path):
+    src = ReportSource(report_file(tmp_path, 20), spark=spark)
+    plan = lambda p: p.df._jdf.queryExecution().optimizedPlan().toString()
+    p = src | RenameFields({"c": "z"}) | DropFields(["b", "z"])
+    assert p.df.columns == ["a"] and "c#" not in plan(p) and "b#" not in plan(p)
+    p = src | FilterRows(field="b", op="==", value="v1") | DropFields(["b", "c"])
+    assert [r["a"] for r in p] == [str(k) for k in range(1, 20, 3)] and "c#" not in plan(p)
+    p = src | RenameFields({"b": "a"}) | DropFields(["c"])
+    assert [r["a"] for r in p][:2] == ["v0", "v1"]
+
+
+def test_parallel_keeps_order(spark, tmp_path):
+    src = ReportSource(report_file(tmp_path, 100), spark=spark, partitions=3)
+    p = (src | FilterRows(field="b", op="!=", value="v1")).parallel(workers=4)
+    assert [int(r["a"]) for r in p] == [k for k in range(100) if k % 3 != 1] and p.df.rdd.getNumPartitions() == 4
+
+
+def test_batches(spark, tmp_path):
+    src = ReportSource(report_file(tmp_path, 100), spark=spark, partitions=3, batch_size=40)
+    assert [len(b) for b in src.batches()] == [40, 40, 20] and [len(b) for b in src.batches(33)] == [33, 33, 33, 1]
+    assert [x for b in src.batches(7) for x in b["a"].to_pylist()] == [str(k) for k in range(100)]
+    assert [r["a"] for r in src.next_batch(3) + src.next_batch(2)] == list("01234") and len(src.next_batch(1000)) == 95 and src.next_batch() == []
+    assert to_dataframe(src, chunksize=30)["a"].tolist() == [str(k) for k in range(100)]
+    assert src.schema() == ["a", "b", "c"] and list((src | FilterRows(field="a", op="==", value="x")).batches(5)) == []
+    assert len(to_dataframe(src | FilterRows(field="a", op="==", value="x"), chunksize=5)) == 0
+
+
+def test_format_plans_its_own_ranges(spark, tmp_path, monkeypatch):
+    from rowloom.sources import register, report
+
+    path = tmp_path / "r.xml"
+    path.write_text("<Report>" + "".join(f"<!-- <Row a='x'/> --><Row a='{k}'/>\n" for k in range(500)) + "</Report>")
+    reader = report.ReportReader({"path": str(path)}, spark.createDataFrame([], "a string").schema)
+    monkeypatch.setattr(report, "RANGE", 2000)
+    parts = reader.partitions()
+    assert len(parts) > 5 and [x for p in parts for b in reader.read(p) for x in b["a"].to_pylist()] == [str(k) for k in range(500)]
+    register(spark)
+    assert spark.read.format("report_xml").load(str(path)).count() == 500
+
+
+def test_collect_and_polars(spark, tmp_path):
+    src = ReportSource(report_file(tmp_path, 4), spark=spark)
+    assert collect(src)[3] == {"a": "3", "b": "v0", "c": "3"} == list(src)[3]
+    src.persist()
+    assert src.df.is_cached and src.df.count() == 4
+    src.clear_cache()
+    assert not src.df.is_cached
+    pytest.importorskip("polars")
+    assert src.to_polars()["a"].to_list() == list("0123")
+
+
 def random_report(seed: int, rows: int = 60) -> bytes:
     r, out = random.Random(seed), ["<?xml version='1.0'?><Report>"]
     for _ in range(rows):
