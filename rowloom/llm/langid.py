@@ -16,10 +16,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowloom.llm.common import table
+from rowloom.llm.common import table, written
 
-#: Dimensions; seed of the letters' vectors; texts that train a language, about; languages at most (the most frequent).
-DIMENSIONS, SEED, TRAIN_TEXTS, MAX_LANGUAGES = 1024, 20, 5000, 1000
+#: Dimensions; seed of the letters' vectors; texts that train a language, about; prototypes that a driver and a task
+#: hold (4 KB each): more values of lang than that are no languages, and an error.
+DIMENSIONS, SEED, TRAIN_TEXTS, HELD = 1024, 20, 5000, 20_000
 #: A letter is its code point; this one stands for whatever is no letter.
 GAP = 32
 #: Code points below this have a table of their pairs, which only spares work; bits of a code point in a trigram.
@@ -87,15 +88,17 @@ def vector(text: str | None, dimensions: int = DIMENSIONS, seed: int = SEED) ->
 
 
 def train(labelled: DataFrame, dimensions: int = DIMENSIONS, texts: int = TRAIN_TEXTS, seed: int = SEED) -> tuple[list[str], np.ndarray]:
-    """Languages in order and their prototypes, from rows with text and lang. Of a language with more than about
-    `texts` rows, a sample by a hash of the text is taken. Rows without a letter or language teach nothing."""
-    labelled = labelled.where("text IS NOT NULL AND lang IS NOT NULL")
-    sizes = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
-    if not sizes:
-        return [], np.zeros((0, dimensions), dtype=np.float32)
-    shares = {r["lang"]: min(1.0, texts / r["count"]) for r in sizes}
-    share = F.create_map(*(F.lit(x) for kv in shares.items() for x in kv))[F.col("lang")]
-    sample = labelled.where(F.pmod(F.xxhash64(F.lit(seed), "text"), F.lit(1 << 20)) < share * (1 << 20))
+    """Languages in order and their prototypes, from rows with text and lang; every language that has a text with a
+    letter. Of a language with more than about `texts` different texts, a sample by a hash of the text is taken; texts
+    that repeat under one language count once, texts of any length whole. Rows without a letter or language teach
+    nothing; other columns are left out. Over HELD languages are a ValueError."""
+    labelled = labelled.where("text IS NOT NULL AND lang IS NOT NULL").select("lang", "text")
+    sizes = written(labelled.groupBy("lang").agg(F.approx_count_distinct("text", 0.02).alias("n")), "languages")
+    if (found := sizes.count()) > HELD:
+        raise ValueError(f"{found} values of lang: more than {HELD} are no languages")
+    share = F.least(F.lit(1.0), texts / F.col("n")) * (1 << 20)
+    sample = labelled.join(F.broadcast(sizes), "lang")  # HELD rows at most
+    sample = sample.where(F.pmod(F.xxhash64(F.lit(seed), "text"), F.lit(1 << 20)) < share).select("lang", "text").distinct()
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -110,7 +113,7 @@ def train(labelled: DataFrame, dimensions: int = DIMENSIONS, texts: int = TRAIN_
         return pa.table({"lang": pa.array([t["lang"][0].as_py()], pa.string()), "v": pa.array([v.tobytes()], pa.binary())})
 
     got = sample.select("lang", "text").mapInArrow(partial, "lang string, v binary").groupBy("lang").applyInArrow(total, "lang string, v binary").collect()
-    got = sorted((r["lang"], np.frombuffer(bytes(r["v"]))) for r in got)  # at most MAX_LANGUAGES rows
+    got = sorted((r["lang"], np.frombuffer(bytes(r["v"]))) for r in got)  # HELD rows at most
     if not got:
         return [], np.zeros((0, dimensions), dtype=np.float32)
     profiles = np.array([v / max(np.linalg.norm(v), 1e-12) for _, v in got])
@@ -122,9 +125,10 @@ def train(labelled: DataFrame, dimensions: int = DIMENSIONS, texts: int = TRAIN_
 
 def predict(docs: DataFrame, langs: list[str], profiles: np.ndarray, seed: int = SEED, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """keep's columns, lang_pred and score (the cosine, 0 at least). `und` and 0 where the text is null or has no
-    letter, or no language was learned. Ties: the language first by name."""
+    letter, or no language was learned. Ties: the language first by name. Texts of any length count whole, rows that
+    repeat each get their row; no rows, no rows."""
     spark = docs.sparkSession
-    model = spark.sparkContext.broadcast((langs, profiles))  # at most MAX_LANGUAGES x DIMENSIONS numbers
+    model = spark.sparkContext.broadcast((langs, profiles))  # HELD x DIMENSIONS numbers at most
     kept = docs.select(*keep, "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

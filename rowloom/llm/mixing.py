@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rowloom.llm.common import parts, table, words, written
+from rowloom.llm.common import fresh_names, parts, table, words, written
 
 #: Weights of the sources in code point order (null last), repeating.
 WEIGHTS = (3, 1, 2)
@@ -38,19 +38,14 @@ def targets(sources: DataFrame, weights: tuple[int, ...], share: float, most: fl
     return s.select("source", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, seed: int = 0, extra: dict[str, Column] | None = None) -> DataFrame:
-    """doc_id, size, source_size, target, taken (and `extra` columns), a row per row of docs.
+def _key(seed: int) -> Column:
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
 
-    size: words of the text (0 for null). taken: size in every whole epoch, and in the last one what the budget
-    (target, rounded down) still allows, in order of a hash of the seed and doc_id; equal ones by size and text hash. A source
-    without words takes nothing. Empty table: no rows.
-    """
-    extra = extra or {}
-    light = docs.select(
-        "doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size"),
-        F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("key"),
-        F.xxhash64("text").alias("th"), *(c.alias(k) for k, c in extra.items()),
-    )
+
+def _ranged(docs: DataFrame, weights: tuple[int, ...], share: float, most: float, seed: int) -> tuple[DataFrame, DataFrame]:
+    """Rows: doc_id, source, size, key, th, range. Ranges of each source: words of the ranges before, the source's size,
+    target, whole epochs, and rest: what the cut epoch takes."""
+    light = docs.select("doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size"), _key(seed).alias("key"), F.xxhash64("text").alias("th"))
     light = written(light, "sizes")
     n = parts(light.count(), RANGE_ROWS)
     # A range is the key's leading 28 bits, scaled: even, whatever share of the rows one source holds.
@@ -58,34 +53,71 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5,
     light = light.withColumn("range", F.floor(rank * n / F.lit(1 << 28)).cast("long"))
     ranges = light.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
     totals = targets(light.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
+    budget, size = F.floor("target").cast("long"), F.col("source_size")
+    totals = totals.withColumn("epochs", F.when(size > 0, F.floor(budget / size).cast("long")).otherwise(F.lit(0).cast("long"))).withColumn("rest", budget - F.col("epochs") * size)
     before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = ranges.withColumn("before", F.coalesce(F.sum("range_size").over(before), F.lit(0)))
-    t, r = totals.alias("t"), ranges.alias("r")
-    ranges = r.join(t, F.col("r.source").eqNullSafe(F.col("t.source"))).select("r.source", "range", "before", "source_size", "target")
-    here = Window.partitionBy("source", "range").orderBy("key", "size", "th").rowsBetween(Window.unboundedPreceding, 0)
-    light = light.withColumn("upto", F.sum("size").over(here)).alias("l")
-    o = ranges.alias("o")
+    r, t = ranges.withColumn("before", F.coalesce(F.sum("range_size").over(before), F.lit(0))).alias("r"), totals.alias("t")
+    both = r.join(t, F.col("r.source").eqNullSafe(F.col("t.source")))
+    return light, both.select("r.source", "range", "range_size", "before", "source_size", "target", "epochs", "rest")
+
+
+def _running() -> Column:
+    """Words of a range up to a row and with it; equal rows in any order."""
+    return F.sum("size").over(Window.partitionBy("source", "range").orderBy("key", "size", "th").rowsBetween(Window.unboundedPreceding, 0))
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, seed: int = 0, extra: dict[str, str] | None = None) -> DataFrame:
+    """doc_id, size, source_size, target, taken (and source, if asked for as extra={"name": "source"}), a row per row of
+    docs; docs' other columns are left out.
+
+    size: words of the whole text (0 for null or empty). taken: size in every whole epoch, and in the last one what the
+    budget (target, rounded down) still allows, in order of a hash of the seed and doc_id; equal ones by size and text
+    hash, rows that repeat one after another. A null source is a source. A source without words takes nothing. Empty
+    table: no rows.
+    """
+    light, ranges = _ranged(docs, weights, share, most, seed)
+    light, o = light.withColumn("upto", _running()).alias("l"), ranges.alias("o")
     out = light.join(o, F.col("l.source").eqNullSafe(F.col("o.source")) & (F.col("l.range") == F.col("o.range")))
-    budget = F.floor("target").cast("long")
-    epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size")).cast("long")).otherwise(F.lit(0).cast("long"))
-    rest = budget - epochs * F.col("source_size") - (F.col("before") + F.col("upto") - F.col("size"))
-    taken = epochs * F.col("size") + F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), rest))
-    return out.select("l.doc_id", "l.size", "source_size", "target", taken.alias("taken"), *(F.col(f"l.{k}").alias(k) for k in extra))
-
-
-def mixed_documents(docs: DataFrame, **how) -> DataFrame:
-    """The mix itself, with docs' columns: a document as often as it is taken whole, and the one at the cut as far
-    as the budget goes. Rows with one doc_id and text are taken alike."""
-    names = docs.columns
-    plan = mix(docs, extra={"rowloom_text_hash": F.xxhash64("text")}, **how)
-    plan = plan.where("taken > 0").groupBy("doc_id", "rowloom_text_hash").agg(F.max("size").alias("rowloom_size"), F.max("taken").alias("rowloom_taken")).withColumnRenamed("doc_id", "rowloom_id")
-    d = docs.withColumn("rowloom_th", F.xxhash64("text"))
-    d = d.join(plan, F.col("doc_id").eqNullSafe(F.col("rowloom_id")) & (F.col("rowloom_th") == F.col("rowloom_text_hash")))
-    d = d.withColumn("rowloom_part", F.explode(F.expr("transform(sequence(0, CAST((rowloom_taken + rowloom_size - 1) / rowloom_size AS INT) - 1), i -> least(rowloom_size, rowloom_taken - i * rowloom_size))")))
-    some = F.expr(r"array_join(slice(regexp_extract_all(text, '[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+', 0), 1, CAST(rowloom_part AS INT)), '')")
-    text = F.when(F.col("rowloom_part") < F.col("rowloom_size"), some).otherwise(F.col("text"))
-    cols = [text.alias("text") if c == "text" else F.when(F.col("rowloom_part") < F.col("rowloom_size"), F.length(text).cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in names]
-    return d.select(*cols)
+    left = F.col("rest") - (F.col("before") + F.col("upto") - F.col("size"))
+    taken = F.col("epochs") * F.col("size") + F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), left))
+    return out.select("l.doc_id", "l.size", "source_size", "target", taken.alias("taken"), *(F.col(f"l.{c}").alias(k) for k, c in (extra or {}).items()))
+
+
+def _cuts(docs: DataFrame, weights: tuple[int, ...], share: float, most: float, seed: int) -> DataFrame:
+    """source, epochs, and where the cut epoch ends: the row (key, size, th) that holds its last word and how many words
+    each row like it gives; no such row where whole epochs are all. A row per source; only ranges with a cut are sorted."""
+    light, ranges = _ranged(docs, weights, share, most, seed)
+    ranges = written(ranges, "ranges")
+    cut = ranges.where("rest > 0 AND before < rest AND rest <= before + range_size").alias("c")
+    there = light.alias("l").join(cut, F.col("l.source").eqNullSafe(F.col("c.source")) & (F.col("l.range") == F.col("c.range")))
+    there = there.select("l.source", "l.range", "l.key", "l.size", "l.th", "before", "rest").withColumn("upto", F.col("before") + _running())
+    alike = there.groupBy("source", "key", "size", "th").agg(F.count("*").alias("rows"), F.max("upto").alias("upto"), F.first("rest").alias("rest"))
+    first = F.col("upto") - F.col("rows") * F.col("size")
+    last = alike.where((first < F.col("rest")) & (F.col("rest") <= F.col("upto"))).select("source", "key", "size", "th", F.expr("(rest - (upto - rows * size)) DIV rows").alias("words")).alias("l")
+    sources = ranges.groupBy("source").agg(F.first("epochs").alias("epochs")).alias("s")
+    return sources.join(last, F.col("s.source").eqNullSafe(F.col("l.source")), "left").select("s.source", "epochs", "key", "size", "th", "words")
+
+
+def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, seed: int = 0) -> DataFrame:
+    """The mix itself, with docs' columns: a document as often as it is taken whole, and the one at the cut as far as the
+    budget goes. Rows that repeat are taken alike: at the cut they share what is left of the budget. Null, empty and
+    wordless texts are never taken. Documents are not moved: each is compared with its source's cut. Empty table: no rows.
+    """
+    cuts = written(_cuts(docs, weights, share, most, seed), "cuts")
+    source, epochs, key, size, th, some, own, n, part = fresh_names(docs, "source", "epochs", "key", "size", "th", "some", "own", "n", "part")
+    d = docs.where(docs["text"].rlike(r"[^\x20\x09-\x0D]")).withColumn(own, _key(seed))
+    d = d.join(cuts.toDF(source, epochs, key, size, th, some), F.col("source").eqNullSafe(F.col(source)))
+    # Words are counted only of rows that have the cut row's own key.
+    mine, its = F.struct(F.size(words(F.col("text"))).cast("long"), F.xxhash64("text")), F.struct(size, th)
+    last = F.when(F.col(key).isNull() | (F.col(own) > F.col(key)), F.lit(0).cast("long")).when(F.col(own) < F.col(key), F.lit(-1).cast("long"))
+    last = last.when(mine < its, F.lit(-1).cast("long")).when(mine > its, F.lit(0).cast("long")).when(F.col(some) == F.col(size), F.lit(-1).cast("long")).otherwise(F.col(some))
+    d = d.withColumn(n, last)  # words of the cut epoch: none, so many, or -1 for all
+    copies = F.concat(F.expr(f"array_repeat(-1L, CAST({epochs} AS INT))"), F.when(F.col(n) == 0, F.array().cast("array<long>")).otherwise(F.array(n)))
+    d = d.withColumn(part, F.explode(copies))
+    cut = F.expr(f"array_join(slice(regexp_extract_all(text, '[\\\\x20\\\\x09-\\\\x0D]*[^\\\\x20\\\\x09-\\\\x0D]+', 0), 1, CAST({part} AS INT)), '')")
+    text = F.when(F.col(part) >= 0, cut).otherwise(F.col("text"))
+    chars = lambda c: F.when(F.col(part) >= 0, F.length(text).cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c)
+    return d.select(*(text.alias(c) if c == "text" else chars(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns))
 
 
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -54,8 +54,8 @@ def token_ids(text: str | None, path: str, ranks: str | None) -> np.ndarray:
     if ranks:
         try:
             return np.asarray(_ranked(ranks).encode_to_numpy(text, allowed_special="all"), dtype="<u4")
-        except BaseException as e:  # the library's own panics are no Exceptions
-            if isinstance(e, (KeyboardInterrupt, SystemExit, GeneratorExit)):
+        except BaseException as e:  # the library's panics are no Exceptions; their type cannot be imported
+            if type(e).__name__ != "PanicException":
                 raise
     return np.array(_exact(path).encode(text, add_special_tokens=False).ids, dtype="<u4")
 
@@ -112,7 +112,8 @@ def best_fit_decreasing(lengths: np.ndarray, window: int) -> tuple[np.ndarray, n
 def pack(docs: DataFrame, window: int = WINDOW, end_id: int = END_ID, path: str | None = None, ranks: str | None = None, with_ids: bool = False, group_docs: int = GROUP_DOCS) -> DataFrame:
     """A row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids).
 
-    Null text: empty, so the document is its end id alone. Repeated rows are packed each. Pieces are dealt to
+    Null text: empty, so the document is its end id alone; texts of any length; docs' other columns are left out. Pieces
+    of one length go in order of their checksum, document's tokens, start and doc_id. Repeated rows are packed each. Pieces are dealt to
     groups in turn, not by a key, so equal documents spread. Empty table: no rows. path: the vocabulary
     for tokenizers; ranks: the same vocabulary as ranks, if there is such a file (both default to the public 50k one).
     """

@@ -228,6 +228,35 @@ def test_language(spark, none):
     assert langid.predict(d, *langid.train(none)).where("lang_pred <> 'und'").count() == 0
 
 
+def test_language_by_loops(spark):
+    """Prototypes and predictions, one letter at a time; texts that repeat count once, a rare language is learned."""
+    r = random.Random(5)
+    kinds = {"xx": "abcde ", "yy": "cdefg ", "zz": "àêçdé "}
+    rows = [(k, "".join(r.choices(kinds[x], k=r.randrange(1, 60))), x) for k, x in enumerate(["xx", "yy"] * 30 + ["zz"])]
+    rows += [(k, t, x) for k, (_, t, x) in enumerate(rows[:5] * 3, 100)] + [(200, "12", "xx"), (201, None, "yy"), (202, "edcba", None)]
+    letter = lambda c: langid._letter(ord(c), langid.DIMENSIONS, langid.SEED).astype(float)
+
+    def vector(text):
+        s = " " + re.sub(" +", " ", "".join(c if c.isalpha() else " " for c in text.lower())).strip(" ") + " "
+        return sum(np.roll(letter(a), 2) * np.roll(letter(b), 1) * letter(c) for a, b, c in zip(s, s[1:], s[2:], strict=False))
+
+    has = lambda t: t is not None and any(c.isalpha() for c in t)
+    unit = lambda v: v / np.linalg.norm(v)
+    profiles = {x: unit(sum(unit(vector(t)) for t in {t for _, t, y in rows if y == x and has(t)})) for x in kinds}
+    mean = sum(profiles.values()) / 3
+    profiles = {x: unit(v - mean) for x, v in profiles.items()}
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    langs, got = langid.train(d)
+    assert langs == sorted(kinds) and np.allclose(got, [profiles[x] for x in langs], atol=1e-4)
+    for x in langid.predict(d, langs, got).collect():
+        text = rows[[k for k, _, _ in rows].index(x["doc_id"])][1]
+        if not has(text):
+            assert (x["lang_pred"], x["score"]) == ("und", 0.0)
+            continue
+        cosines = {y: float(unit(vector(text)) @ v) for y, v in profiles.items()}
+        assert abs(cosines[x["lang_pred"]] - max(cosines.values())) < 1e-4 and abs(x["score"] - max(0.0, max(cosines.values()))) < 1e-4
+
+
 def test_bundle_is_the_sum_of_bound_letters():
     base = np.random.default_rng(langid.SEED).choice(np.array([-1, 1], dtype=np.int8), (256, 64)).astype(int)
     codes = [32, *map(ord, "abca"), 32]
@@ -472,8 +501,8 @@ def test_components(spark):
 # --- mixing
 
 
-def test_mixing(docs, none):
-    rows = mixing.mix(docs, extra={"from": F.col("source")}).collect()
+def test_mixing(spark, docs, none):
+    rows = mixing.mix(docs, extra={"from": "source"}).collect()
     sizes, taken, target = Counter(), Counter(), {}
     for r in rows:
         sizes[r["from"]] += r["size"]
@@ -497,7 +526,16 @@ def test_mixing(docs, none):
     per = Counter()
     for r in mixed.collect():
         per[r["source"]] += len(words(r["text"]))
-    assert all(abs(per[s] - taken[s]) <= 60 for s in names)
+    assert all(taken[s] - 60 <= per[s] <= taken[s] for s in names)
+    clash = spark.createDataFrame([(k, f"w{k} x y", "a", k, "z") for k in range(9)] + [(9, None, None, 9, "z"), (10, "one two", None, 10, "z")], "doc_id long, text string, source string, rowloom_key long, ROWLOOM_part string")
+    got, plan = mixing.mixed_documents(clash), Counter()
+    assert got.columns == clash.columns and mixing.mixed_documents(clash.limit(0)).count() == 0
+    for r in mixing.mix(clash).collect():
+        plan[r["doc_id"]] = r["taken"]
+    words_of = Counter()
+    for r in got.collect():
+        words_of[r["doc_id"]] += len(words(r["text"]))
+    assert words_of == +plan
     again = {(r["doc_id"], r["taken"]) for r in mixing.mix(docs.repartition(5)).collect()}
     assert again == {(r["doc_id"], r["taken"]) for r in rows}
 
