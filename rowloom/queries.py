@@ -177,7 +177,7 @@ def filter_float_text(spark, sf):
     return (Pipeline(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")) | FilterRows(field="l_quantity", op="==", value="42")).df
 
 
-@query("SELECT o_orderkey, 123456789.125 + o_orderkey % 3 AS x FROM orders WHERE o_orderkey % 3 = 1")
+@query("SELECT o_orderkey, CAST(123456789.125 AS DOUBLE) + o_orderkey % 3 AS x FROM orders WHERE o_orderkey % 3 = 1")
 def filter_float_large(spark, sf):
     x = table(spark, sf, "orders").selectExpr("o_orderkey", "123456789.125D + o_orderkey % 3 AS x")
     return (Pipeline(x) | FilterRows(field="x", op="==", value="123456790.125")).df
