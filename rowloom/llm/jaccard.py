@@ -37,6 +37,8 @@ WORDS, PERCENT, ORDERS, MORE, SMALL = 5, 80, 3, 10, 8
 #: Similar sets of distance d(x, y) <= 0.2 keep d(x, hub) <= d(y, hub) + 0.2, so 0.5 and 0.3 leave no gap. Sets of half a
 #: tile, and bytes of their tokens.
 FAR, NEAR, TILE_SETS, TILE_BYTES = 50, 30, 1024, 16 << 20
+#: Rows of a group above which its rows are dealt over SALTS tasks where they meet the group's smallest doc_id.
+LARGE, SALTS = 1024, 256
 #: Tokens that the orders put last, at most.
 FREQUENT = 1 << 18
 _UPPER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -387,6 +389,20 @@ def _grouped(docs: DataFrame, percent: int, words: int, counts: dict | None = No
     return light.join(roots.withColumnRenamed("node", "sid"), "sid", "left").select("id", "th", "n", F.when(F.col("n") > 0, F.coalesce("root", "sid")).alias("root"))
 
 
+def _beside(g: DataFrame, groups: DataFrame) -> DataFrame:
+    """g's rows with what groups (root, size, ...) says of their root, nulls without a root. The rows of a large group are
+    dealt over SALTS tasks, and its row of groups goes to each of them: LARGE rows stand behind SALTS, so no more rows are
+    added than a quarter of g's. What a full bitmap marks beside them is dealt in the same way."""
+    groups = written(groups, "of_root")
+    large = bitmap(groups.where(F.col("size") > LARGE).select("root"))
+    every = F.transform(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda k: k.cast("long"))
+    x = flagged(groups.drop("size"), large, F.col("root"), "large")
+    x = x.withColumn("salt", F.explode(F.when(F.col("large"), every).otherwise(F.array(F.lit(0).cast("long"))))).drop("large")
+    d = flagged(g, large, F.col("root"), "large")
+    d = d.withColumn("salt", F.when(F.col("large"), F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))).otherwise(F.lit(0)).cast("long"))
+    return d.drop("large").join(x, ["root", "salt"], "left").drop("salt")
+
+
 def near_groups(docs: DataFrame, percent: int = PERCENT, words: int = WORDS, counts: dict | None = None) -> DataFrame:
     """doc_id, text_hash, n_shingles, component_id (smallest doc_id that links reach, itself included).
 
@@ -396,8 +412,8 @@ def near_groups(docs: DataFrame, percent: int = PERCENT, words: int = WORDS, cou
     filter, the pairs met by hubs and tiles, and the candidates left after each order.
     """
     g = written(_grouped(docs, percent, words, counts), "groups")
-    least = g.where("root IS NOT NULL").groupBy("root").agg(F.min("id").alias("component_id"))
-    out = g.join(least, "root", "left")
+    least = g.where("root IS NOT NULL").groupBy("root").agg(F.min("id").alias("component_id"), F.count("*").alias("size"))
+    out = _beside(g, least)
     return out.select(F.col("id").alias("doc_id"), F.col("th").alias("text_hash"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
 
 
@@ -407,9 +423,9 @@ def one_of_each(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) ->
     in their group could replace are not moved between tasks. Empty table: no rows."""
     g = written(_grouped(docs, percent, words).where("root IS NOT NULL"), "groups")
     place = F.struct(F.col("id").isNull().alias("z"), "id", "th")
-    rows = g.groupBy("root", "id", "th").agg(F.count("*").alias("c"))
-    first = g.groupBy("root").agg(F.min(place).alias("first"))
-    lost = rows.join(first, "root").withColumn("lost", place != F.col("first")).where("lost OR c > 1").groupBy("id", "th").agg(F.max("lost").alias("lost"))
+    rows = written(g.groupBy("root", "id", "th").agg(F.count("*").alias("c")), "rows")
+    first = rows.groupBy("root").agg(F.min(place).alias("first"), F.count("*").alias("size"))
+    lost = _beside(rows, first).withColumn("lost", place != F.col("first")).where("lost OR c > 1").groupBy("id", "th").agg(F.max("lost").alias("lost"))
     lost = written(lost, "lost")
     th, flag, id_, t, gone = fresh_names(docs, "th", "flag", "id", "t", "gone")
     d = flagged(docs.withColumn(th, F.xxhash64("text")), bitmap(lost.select(F.xxhash64("id", "th"))), F.xxhash64("doc_id", th), flag)

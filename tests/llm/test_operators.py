@@ -454,6 +454,19 @@ def test_one_of_each_without_ids(spark):
     assert sorted(r["rowloom_id"] for r in jaccard.one_of_each(d).collect())[1:] == [8]
 
 
+@pytest.mark.parametrize("large", [3, 10**6])
+def test_large_groups_are_dealt(spark, monkeypatch, large):
+    """Groups of more and of fewer rows than LARGE, of one text and of two, with and without ids: one row for each row."""
+    monkeypatch.setattr(jaccard, "LARGE", large)
+    texts = [" ".join(f"{g}w{k}" for k in range(60)) for g in "abc"]
+    rows = [(k, texts[0]) for k in range(100, 140)] + [(99, texts[0] + " x"), (None, texts[0])] + [(5, texts[1]), (6, texts[1] + " y"), (7, texts[2]), (8, ""), (None, None)]
+    rows += [(None, "no number here at all")] * 5
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = Counter((r["doc_id"], r["component_id"]) for r in jaccard.near_groups(d).collect())
+    assert got == Counter([(i, 99 if t and t[0] == "a" else 5 if t and t[0] == "b" else i) for i, t in rows])
+    assert Counter(r["doc_id"] for r in jaccard.one_of_each(d).collect()) == Counter([99, 5, 7, 8, None, None])
+
+
 @pytest.mark.parametrize("small, tile", [(2, 1024), (8, 5), (10**6, 1024)])
 def test_jaccard_of_clouds(spark, monkeypatch, small, tile):
     """Many sets around one text, some similar to each other and some not, sets far from any hub, and shared passages:
