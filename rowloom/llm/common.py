@@ -69,7 +69,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/rowloom-{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.rowloom_path = path
+    return out
+
+
+def removed(table: DataFrame) -> None:
+    """Delete a written table early. Whatever was made of it must be written itself, so that no lost task asks for it."""
+    _remove(table.sparkSession, table.rowloom_path)
 
 
 def parts(rows: int, each: int) -> int:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowloom.llm.common import bitmap, flagged, fresh_names, let_through, table, written
+from rowloom.llm.common import bitmap, flagged, fresh_names, let_through, removed, table, written
 from rowloom.llm.components import components
 
 #: Words of a shingle; least similarity in hundredths; token orders behind the document filter; hundredths of a set's
@@ -319,9 +319,10 @@ def _apart(df: DataFrame, roots: DataFrame, *cols: str) -> DataFrame:
 def _linked(sets: DataFrame, reps: DataFrame, percent: int, counts: dict) -> DataFrame | None:
     """Roots of the sets that links join; None if there are no links."""
     frequent = sets.sparkSession.sparkContext.broadcast(_frequent(sets))  # FREQUENT rows at most
-    rows = written(_prefixes(sets, percent, list(range(ORDERS)), frequent).select("o", "tok", "sid"), "prefixes")
-    common = rows.groupBy("o", "tok").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo < hi").select("o", "tok")
-    rows = written(rows.join(common, ["o", "tok"]), "shared")
+    prefixes = written(_prefixes(sets, percent, list(range(ORDERS)), frequent).select("o", "tok", "sid"), "prefixes")
+    common = prefixes.groupBy("o", "tok").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo < hi").select("o", "tok")
+    rows = written(prefixes.join(common, ["o", "tok"]), "shared")
+    removed(prefixes)
     every = rows.groupBy("sid").agg(F.bit_or(F.expr("shiftleft(1, o)")).alias("met")).where(f"met = {(1 << ORDERS) - 1}").select("sid")
     rows = rows.join(every, "sid")
     active = rows.where("o = 0").join(reps.select("sid", "lone"), "sid").select("tok", "sid", "lone")
@@ -376,10 +377,11 @@ def _grouped(docs: DataFrame, percent: int, words: int, counts: dict | None = No
     """id, th, n of every row of docs, and root: the least set id that links reach, null for an empty set."""
     tally = {k: docs.sparkSession.sparkContext.accumulator(0) for k in (*range(1, ORDERS + 1), "hub", "tile")}
     every = written(_sets(docs, words, percent), "sets")
-    light = every.select("id", "th", "n", "sid")
+    light = written(every.select("id", "th", "n", "sid"), "light")
     of_set = light.where("n > 0").groupBy("sid").agg(F.first("n").alias("n"), F.min(F.struct("id", "th")).alias("rep"), F.count("*").alias("copies"))
     reps = written(_survivors(every, of_set, percent), "reps")
     sets = written(_token_table(every, reps), "tokens")
+    removed(every)  # what follows reads light, reps and sets
     roots = _linked(sets, reps, percent, tally)
     if counts is not None:
         counts |= {"sets": reps.count(), "hub pairs": tally["hub"].value, "pairs in tiles": tally["tile"].value} | {f"candidates after {o} orders": tally[o].value for o in range(1, ORDERS + 1)}
